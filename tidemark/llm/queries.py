@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from .mixing import OP6_SQL, op6_mixing
+from .packing import op10_packing
 from .quality import OP9_SQL, op9_quality_rules
+from .simhash import op4_simhash
+from .tokens import op2_token_counts
 from .urls import OP5_SQL, op5_url_filters
 
-QUERIES = {"op5_url_filters": op5_url_filters, "op6_mixing": op6_mixing, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_simhash": op4_simhash,
+    "op5_url_filters": op5_url_filters,
+    "op6_mixing": op6_mixing,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_packing": op10_packing,
+}
 ORACLES = {"op5_url_filters": OP5_SQL, "op6_mixing": OP6_SQL, "op9_quality_rules": OP9_SQL}
