@@ -138,7 +138,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         logits = np.array([(weighted[ids] * share[:, None]).sum(axis=0) + bias for _, ids, share in held])
         truth = np.array([languages.index(r[0]) if r[0] in languages else 0 for r in held])
         choices = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-        loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in choices]
+        # smoothed by one document's worth of doubt, so a part without errors doesn't make scores certain
+        doubt = 1 / (len(truth) + 2)
+        logs = [np.log(np.maximum(_softmax(logits / t), 1e-12)) for t in choices]
+        loss = [-(1 - doubt) * x[np.arange(len(truth)), truth].mean() - doubt * x.mean() for x in logs]
         temperature = float(choices[int(np.argmin(loss))])
     return Model(languages, weighted.astype(np.float32), bias, temperature)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat_formatting
 from .langid import op8_language_id
 from .minhash import op7_fingerprints
 from .mixing import OP6_SQL, op6_mixing
@@ -15,6 +16,7 @@ from .urls import OP5_SQL, op5_url_filters
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_simhash": op4_simhash,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op5_url_filters": OP5_SQL, "op6_mixing": OP6_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES = {"op3_chat_formatting": OP3_SQL, "op5_url_filters": OP5_SQL, "op6_mixing": OP6_SQL, "op9_quality_rules": OP9_SQL}
