@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, uniform
+from .common import fold, kept_by_text, read_table, uniform
 
 #: Labelled documents that the classifier is fitted on, as an expected number; the bound on what comes to the driver.
 SAMPLE_DOCS = 4000
@@ -238,6 +238,20 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return predict_language(rows, model, ["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
 
 
+#: A document whose best language is less probable than this is rejected, as is one without letters.
+LEAST_PROBABLE = 0.4
+
+
+def in_a_language(docs: DataFrame, model: Model, least: float = LEAST_PROBABLE) -> DataFrame:
+    """The documents that are in one of the model's languages, with their columns; a null text isn't."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keeps(texts: list) -> list[bool]:
+        return [n != UNDETERMINED and p >= least for n, p in zip(*score_texts(texts, shared.value), strict=True)]
+
+    return kept_by_text(docs, keeps)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the language of every document's whole text."""
     return identify_languages(read_table(spark, sf_dir, "documents"))

@@ -218,8 +218,8 @@ def shard_links(f: np.ndarray, wide: np.ndarray | None, visits: np.ndarray, mask
     return np.array([forest.root(i) for i in range(len(f))], np.int64)
 
 
-def near_links(distinct: DataFrame, radius: int, wide_columns: list[str] | None = None, wide_radius: int = 0) -> DataFrame:
-    """Links (a, b) between distinct fingerprints in column f0 that join whatever lies within the radius, and no more.
+def near_links(distinct: DataFrame, radius: int, wide_columns: list[str] | None = None, wide_radius: int = 0, id_col: str = "f0") -> DataFrame:
+    """Links (a, b) between ids of distinct fingerprints in column f0 that join whatever lies within the radius, and no more.
 
     Every shard gives a spanning forest of its links, not its pairs. With wide_columns a link must also lie within
     wide_radius over these. distinct must be a written table.
@@ -230,7 +230,7 @@ def near_links(distinct: DataFrame, radius: int, wide_columns: list[str] | None
     sample = np.sort(np.array([r[0] for r in sample.collect()], np.int64)).view(np.uint64)
     levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
     trees = [(shard_tree(np.random.default_rng(7).permutation(sample), mask, levels), mask, r) for mask, r in blocks_of(radius)]
-    columns = ["f0", *(wide_columns or [])]
+    columns = list(dict.fromkeys(["f0", id_col, *(wide_columns or [])]))
     shared = spark.sparkContext.broadcast(trees)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def near_links(distinct: DataFrame, radius: int, wide_columns: list[str] | None
         wide = frame[wide_columns].to_numpy().view(np.uint64) if wide_columns else None
         root = shard_links(f, wide, frame["visits"].to_numpy(bool), mask, r, radius, wide_radius)
         linked = np.flatnonzero(root != np.arange(len(f)))
-        values = frame["f0"].to_numpy()
+        values = frame[id_col].to_numpy()
         return pd.DataFrame({"a": values[linked], "b": values[root[linked]]})
 
     return distinct.select(*columns).mapInArrow(places, f"{fields}, shard long, visits boolean").groupBy("shard").applyInPandas(within, "a long, b long")
@@ -275,6 +275,49 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: For five-word shingles at a resemblance of 0.8: differing bits of the first fingerprint within which partners are sought
+#: (unlike pairs at 0.8 differ in 10 of 64 bits or so, 13 holds nine of ten), and of all four, which tell them from chance.
+STAGE_WORDS, STAGE_RADIUS, STAGE_SEEDS, STAGE_WIDE = 5, 13, (42, 43, 44, 45), 44
+
+
+def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, wide_radius: int = STAGE_WIDE) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
+
+    Links need fingerprints within the radius, found by the forest, and 256 bits in four seeds within wide_radius. A row
+    is known by a hash of id and text; rows alike in both are copies, of which one stays. Texts without words are copies
+    of each other. Columns stay as they are; an empty table gives an empty table.
+    """
+    width = len(STAGE_SEEDS)
+    fs = [f"f{k}" for k in range(width)]
+    row_key = F.xxhash64("doc_id", "text")
+    rows = docs.select("doc_id", "text", row_key.alias("row_key"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    prints = written(rows.mapInArrow(_stage_fingerprinter(words), ", ".join([f"doc_id {id_type}, row_key long", *(f"{c} long" for c in fs)])).withColumn("node", F.xxhash64(*fs)), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_key"))
+    nodes = written(prints.groupBy("node", *fs).agg(F.min(first).alias("first"), F.count("*").alias("rows")), "nodes")
+    roots = connected_components(written(near_links(nodes, radius, fs, wide_radius, "node"), "near"))
+    joined = nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = joined.groupBy("root").agg(F.min("first").alias("kept"), F.sum("rows").alias("n")).where("n > 1")
+    lost = written(prints.join(joined.select("node", "root").join(kept, "root").select("node", F.col("kept.row_key").alias("kept_key")), "node").where("row_key <> kept_key").select("row_key").distinct(), "lost")
+    out = docs.withColumn("_key", row_key).join(lost, F.col("_key") == F.col("row_key"), "left_anti")
+    repeated = prints.groupBy("row_key").count().where("count > 1").select("row_key")
+    if repeated.isEmpty():
+        return out.drop("_key")
+    twice = written(repeated, "twice")
+    once = out.join(twice, F.col("_key") == F.col("row_key"), "left_anti")
+    more = out.join(twice, F.col("_key") == F.col("row_key"), "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(more).drop("_key")
+
+
+def _stage_fingerprinter(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.array([majority(shingle_hashes(t or "", words, STAGE_SEEDS)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(STAGE_SEEDS))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row_key": batch.column(2)} | {f"f{k}": pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(out.shape[1])})
+
+    return run
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: fingerprints and components of all documents."""
     return simhash_components(read_table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, uniform
+from .common import fold, kept_by_text, read_table, uniform
 
 #: Labelled documents that lexicon, trees and calibration are fitted on, as an expected number.
 SAMPLE_DOCS = 12_000
@@ -296,6 +296,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def not_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents that score below the limit, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scanners: list[Scanner] = []
+
+    def keeps(texts: list) -> list[bool]:
+        if not scanners:
+            scanners.append(Scanner(shared.value.lexicon))
+        x = np.array([scanners[0].features(t) for t in texts]).reshape(len(texts), N_FEATURES)
+        return (shared.value.scores(x) < limit).tolist()
+
+    return kept_by_text(docs, keeps)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the toxicity of every document."""
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
