@@ -79,10 +79,10 @@ def draw(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         running = Window.partitionBy("source").orderBy("bin")
         bins = bins.withColumns({"below": F.sum("words").over(running) - F.col("words"), "next_at": F.lead("at").over(running)})
         bins = bins.withColumnsRenamed({"source": "of_source", "at": "bin_at"})
-        ends = state.join(bins, F.col("source").eqNullSafe(F.col("of_source")), "left").where(
-            F.col("of_source").isNull() & (F.col("source_size") == 0) | (F.col("before") + F.col("below") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("below") + F.col("words"))
-        )
-        new = written(ends.select("source", "source_size", "target", "full", "left", F.coalesce("bin_at", "low").alias("low"), F.coalesce("next_at", "high").alias("high"), (F.col("before") + F.coalesce("below", F.lit(0))).cast("bigint").alias("before"), F.coalesce("n", F.lit(0)).cast("bigint").alias("inside")), "mix-ends")
+        begins = F.col("before") + F.col("below")
+        # one bin of every source holds the end of its budget; a source without words has none and is not drawn from
+        ends = state.join(bins, F.col("source").eqNullSafe(F.col("of_source")) & (begins <= F.col("left")) & (F.col("left") < begins + F.col("words")), "left")
+        new = written(ends.select("source", "source_size", "target", "full", "left", F.coalesce("bin_at", "low").alias("low"), F.when(F.col("bin_at").isNull(), F.col("low")).otherwise(F.coalesce("next_at", "high")).alias("high"), (F.col("before") + F.coalesce("below", F.lit(0))).cast("bigint").alias("before"), F.coalesce("n", F.lit(0)).cast("bigint").alias("inside")), "mix-ends")
         far = new.join(state.select(F.col("source").alias("s0"), F.col("inside").alias("was")), F.col("source").eqNullSafe(F.col("s0"))).agg(F.max(F.when((F.col("was") == 0) | (F.col("inside") < F.col("was")), F.col("inside")))).first()[0]
         dropped(keyed.sparkSession, state)
         state = new
