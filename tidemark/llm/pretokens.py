@@ -15,8 +15,8 @@ import numpy as np
 SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Typographic signs that are neither letters, digits nor white space.
 SIGNS = "\u2013\u2014\u2018\u2019\u201c\u201d\u2022\u2026\u20ac"
-#: Entries of a worker's cache before it is emptied down to its frequent part.
-CACHE_ENTRIES = 1_000_000
+#: Entries of each of the two generations of a worker's cache, about 200 bytes each.
+CACHE_ENTRIES = 200_000
 
 
 def _common(kinds: str) -> str:
@@ -56,33 +56,50 @@ def special_strings(path: str):
     return re.compile("(" + "|".join(re.escape(x) for x in sorted(ids, key=len, reverse=True)) + ")"), ids
 
 
-class Lengths(dict):
-    """Pre-token (or run of characters) to its number of tokens; the frequent ones stay, others are encoded when first met."""
+class Remembering(dict):
+    """A cache in two generations: a full one becomes the older, from which what is met again returns; the rest goes."""
 
-    def __init__(self, path: str, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.frequent, self.encode = frequent, tokenizer(path).encode
-
-    def __missing__(self, key: str) -> int:
-        if len(self) > CACHE_ENTRIES + len(self.frequent):
+    def __init__(self, make, entries: int | None = None):
+        super().__init__()
+        self.make, self.older, self.entries = make, {}, entries or CACHE_ENTRIES
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-            self.update(self.frequent)
-        n = self[key] = len(self.encode(key, add_special_tokens=False).ids)
-        return n
+        self[key] = value
+        return value
 
 
-class Ids(dict):
-    """Pre-token (or run of characters) to its ids as little-endian unsigned 32-bit numbers."""
+_KEPT: dict = {}
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.encode = tokenizer(path).encode
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        ids = self[key] = np.array(self.encode(key, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return ids
+def kept(kind: str, path: str, make):
+    """What make() gives, kept by the worker for its next task of the same kind; one kind at a time, so that memory stays bounded."""
+    if (kind, path) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, path] = make()
+    return _KEPT[kind, path]
+
+
+def lengths(path: str, frequent: dict[str, int]) -> Remembering:
+    """Pre-token (or run of characters) to its number of tokens: from the table of frequent ones, else encoded when first met."""
+    encode = tokenizer(path).encode
+
+    def length(key: str) -> int:
+        n = frequent.get(key)
+        return len(encode(key, add_special_tokens=False).ids) if n is None else n
+
+    return Remembering(length)
+
+
+def id_bytes(path: str) -> Remembering:
+    """Pre-token (or run of characters) to its ids as little-endian unsigned 32-bit numbers."""
+    encode = tokenizer(path).encode
+    return Remembering(lambda key: np.array(encode(key, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
 
 def word_pretokens(text: str) -> list[str]:

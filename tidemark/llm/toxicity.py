@@ -6,6 +6,8 @@ and obfuscation rates. Trees, calibration and the learned lexicon come from a bo
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, kept_by_text, read_table, uniform
+from .pretokens import Remembering
 
 #: Labelled documents that lexicon, trees and calibration are fitted on, as an expected number.
 SAMPLE_DOCS = 12_000
@@ -29,8 +32,8 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_RATIO, LEXICON = 4, 8.0, 4000
 #: Trees, their depth, step, bins of a feature and least rows of a leaf.
 TREES, DEPTH, STEP, BINS, LEAST_LEAF = 80, 3, 0.15, 32, 5
-#: Entries of a worker's cache of words.
-CACHE_WORDS = 500_000
+#: Entries of each of the two generations of a worker's cache of words, about 300 bytes each.
+CACHE_WORDS = 60_000
 
 STRIP = ".,;:!?\"'()[]{}|<>*#%$&@~_-+=/\\^`" + "“”‘’«»…¡¿–—"
 #: Characters that stand for letters within disguised words.
@@ -55,22 +58,38 @@ def stems(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Seen:
-    """In how many toxic and other documents words and stems (marked by a hyphen) occur."""
+    """In how many toxic and other documents words and stems (marked by a hyphen) occur, of those that enough toxic ones have."""
 
     documents: tuple[int, int]
     toxic: Counter
     other: Counter
 
-    def without(self, part: "Seen") -> "Seen":
+    def __sub__(self, part: "Seen") -> "Seen":
         return Seen(tuple(a - b for a, b in zip(self.documents, part.documents, strict=True)), self.toxic - part.toxic, self.other - part.other)
 
+    def __add__(self, part: "Seen") -> "Seen":
+        return Seen(tuple(a + b for a, b in zip(self.documents, part.documents, strict=True)), self.toxic + part.toxic, self.other + part.other)
 
-def seen_in(documents: list[tuple[int, str]]) -> Seen:
-    seen, n = (Counter(), Counter()), [0, 0]
+
+def _keys_of(text: str) -> set[str]:
+    return {s for w in set(words_of(text)) if w for s in stems(w)}
+
+
+def frequent_keys(documents: list[tuple[int, str]]) -> set[str]:
+    """What LEAST_DOCS toxic documents have; counting nothing else keeps the counts small."""
+    hits: Counter = Counter()
+    for toxic, text in documents:
+        if toxic:
+            hits.update(_keys_of(text))
+    return {k for k, n in hits.items() if n >= LEAST_DOCS}
+
+
+def seen_in(documents: list[tuple[int, str]], keys: set[str]) -> Seen:
+    counts, n = (Counter(), Counter()), [0, 0]
     for toxic, text in documents:
         n[toxic] += 1
-        seen[toxic].update({s for w in set(words_of(text)) if w for s in stems(w)})
-    return Seen((n[0], n[1]), seen[1], seen[0])
+        counts[toxic].update(_keys_of(text) & keys)
+    return Seen((n[0], n[1]), counts[1], counts[0])
 
 
 def learn_lexicon(seen: Seen) -> dict[str, float]:
@@ -84,32 +103,31 @@ def learn_lexicon(seen: Seen) -> dict[str, float]:
 
 
 N_FEATURES = 15
+PLAIN = (0.0, False, False, False)
 
 
 class Scanner:
-    """Turns texts to feature rows; keeps what it has found of each word. Words of documents in copies are read once."""
+    """Turns texts to feature rows; remembers what it has found of each word."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.cache = lexicon, {}
+        self.lexicon = lexicon
+        self.words = Remembering(self.word, CACHE_WORDS)
 
     def word(self, raw: str) -> tuple[float, bool, bool, bool]:
         """Learned weight, whether a stated insult, whether in disguise, whether a second-person word."""
-        if (found := self.cache.get(raw)) is None:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            word = raw.lower().strip(STRIP)
-            bare = plain(word)
-            weight = max((self.lexicon.get(s, 0.0) for s in stems(word) + (stems(bare) if bare != word else [])), default=0.0)
-            insult = word in INSULTS or bare in INSULTS
-            found = self.cache[raw] = (weight, insult, bare != word and (insult or weight > 0) and word not in self.lexicon, word in SECOND_PERSON)
-        return found
+        word = raw.lower().strip(STRIP)
+        bare = plain(word)
+        weight = max((self.lexicon.get(s, 0.0) for s in stems(word) + (stems(bare) if bare != word else [])), default=0.0)
+        insult = word in INSULTS or bare in INSULTS
+        if not insult and not weight and word not in SECOND_PERSON:
+            return PLAIN
+        return (weight, insult, bare != word and (insult or weight > 0) and word not in self.lexicon, word in SECOND_PERSON)
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
         words = text.split()
         n = len(words)
-        cache, miss = self.cache, self.word
-        marks = [(cache.get(w) or miss(w)) for w in words]
+        marks = list(map(self.words.__getitem__, words))
         hits = [i for i, m in enumerate(marks) if m[0] > 0 or m[1]]
         weight = sum(marks[i][0] for i in hits)
         stated = sum(marks[i][1] for i in hits)
@@ -236,11 +254,12 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     """
     rows = rows or [(0, "")]
     parts = [rows[k::FOLDS] for k in range(FOLDS)]
-    each = [seen_in(p) for p in parts]
-    every = Seen(tuple(map(sum, zip(*(s.documents for s in each), strict=True))), sum((s.toxic for s in each), Counter()), sum((s.other for s in each), Counter()))
+    keys = frequent_keys(rows)
+    each = [seen_in(p, keys) for p in parts]
+    every = functools.reduce(operator.add, each)
     x, y = [], []
     for part, seen in zip(parts, each, strict=True):
-        scan = Scanner(learn_lexicon(every.without(seen)))
+        scan = Scanner(learn_lexicon(every - seen))
         x.append(np.array([scan.features(t) for _, t in part]).reshape(len(part), N_FEATURES))
         y.append(np.array([float(t) for t, _ in part]))
     fold = np.concatenate([np.full(len(v), k) for k, v in enumerate(y)])
