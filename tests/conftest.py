@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -33,14 +34,14 @@ def small():
 
 
 def rows_of(frame):
-    """Sorted rows with columns by name, floats to five places."""
+    """Sorted rows with columns by name, floats to five places, whole ones as integers."""
     columns = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
-            return round(v, 5)
+            return int(v) if v.is_integer() else round(v, 5)
         return tuple(map(plain, v)) if hasattr(v, "__len__") and not isinstance(v, (str, bytes, dict)) else v
 
     return sorted((repr(tuple(plain(v) for v in row)) for row in frame[columns].astype(object).itertuples(index=False, name=None)))

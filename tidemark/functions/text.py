@@ -59,6 +59,11 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for a row, even where the body has it within lambdas or branches."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeezed(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(" "))
 
@@ -109,11 +114,14 @@ def ngrams(chars: Column, n: int) -> Column:
 
 def search_tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """Distinct tokens in order: words of two or more characters, CJK bigrams and trigrams over all CJK characters, symbols."""
-    lexical = fold_lexical(c)
-    words = F.regexp_extract_all(lexical, F.lit(r"[a-z0-9_+#./-]{2,}"), F.lit(0))
-    cjk = F.regexp_extract_all(lexical, F.lit(CJK_CLASS), F.lit(0))
     symbols = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SYMBOLS), F.lit(0)), F.lower)
-    return F.array_except(F.concat(words, ngrams(cjk, 2), ngrams(cjk, 3), symbols), F.array(*map(F.lit, STOPWORDS if stopwords is None else stopwords)))
+
+    def tokens(lexical: Column) -> Column:
+        words = F.regexp_extract_all(lexical, F.lit(r"[a-z0-9_+#./-]{2,}"), F.lit(0))
+        grams = let(F.regexp_extract_all(lexical, F.lit(CJK_CLASS), F.lit(0)), lambda cjk: F.concat(ngrams(cjk, 2), ngrams(cjk, 3)))
+        return F.concat(words, F.when(lexical.rlike(CJK_CLASS), grams).otherwise(F.array().cast("array<string>")), symbols)
+
+    return F.array_except(let(fold_lexical(c), tokens), F.array(*map(F.lit, STOPWORDS if stopwords is None else stopwords)))
 
 
 def sentences(c: Column) -> Column:
@@ -131,19 +139,23 @@ def script_counts(c: Column) -> Column:
 
 def script_distribution(c: Column) -> Column:
     """Script name to its share of all characters of a known script, to four places."""
-    counts = script_counts(c)
-    total = F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x)
-    return F.transform_values(counts, lambda _, v: F.round(v / total, 4))
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x)
+    return let(script_counts(c), lambda m: let(total(m), lambda n: F.transform_values(m, lambda _, v: F.round(v / n, 4))))
 
 
 def language_by_script(c: Column) -> Column:
     """struct(language, confidence, is_mixed) by the shares of scripts; Latin texts get en at 0.45, as no model is asked."""
-    d = script_distribution(c)
+    return let(script_distribution(c), _language_of)
+
+
+def _language_of(d: Column) -> Column:
     share = lambda s: F.coalesce(F.element_at(d, s), F.lit(0.0))
     has = lambda s: share(s) > 0
     mixed = F.size(F.filter(F.map_entries(d), lambda e: (e["key"] != "Digit") & (e["value"] >= 0.18))) >= 2
     # the largest share wins, the first by name between equal ones
-    major = F.array_max(F.transform(F.map_entries(d), lambda e: F.struct(e["value"].alias("v"), (-F.ascii(e["key"])).alias("k"), (-F.ascii(F.substring(e["key"], 4, 1))).alias("l"), e["key"].alias("name"))))
+    first = {name: len(SCRIPTS) - i for i, name in enumerate(sorted(SCRIPTS))}
+    order = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    major = F.array_max(F.transform(F.map_entries(d), lambda e: F.struct(e["value"].alias("v"), F.element_at(order, e["key"]).alias("o"), e["key"].alias("name"))))
     kana = has("Hiragana") | has("Katakana")
     out = lambda lang, conf: F.struct(F.lit(lang).alias("language"), conf.cast("double").alias("confidence"), F.coalesce(mixed, F.lit(False)).alias("is_mixed"))
     return (

@@ -36,14 +36,14 @@ def with_position(units: DataFrame) -> DataFrame:
 def heading_of(text: Column, block_index: Column | None = None) -> Column:
     """A unit's heading or the empty string: an explicit one, or a short first line without punctuation."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~x.rlike(PAGE_MARK))
-    first = F.coalesce(F.get(lines, 0), F.lit(""))
-    tight = F.regexp_replace(first, r"\s+", "")
-    standalone = (
-        F.char_length(tight).between(2, 52) & ~tight.rlike("[。！？!?；;，,：:]") & first.rlike(r"^[A-Za-z0-9一-鿿·・•《》()（）\-—_ ]+$")
-    )
-    if block_index is not None:
-        standalone = standalone & (F.coalesce(block_index, F.lit(0)) == 0)
-    return F.when(first.rlike(HEADING) | standalone, F.left(first, F.lit(120))).otherwise(F.lit(""))
+    at_top = F.lit(True) if block_index is None else F.coalesce(block_index, F.lit(0)) == 0
+
+    def heading(first: Column) -> Column:
+        tight = F.regexp_replace(first, r"\s+", "")
+        standalone = F.char_length(tight).between(2, 52) & ~tight.rlike("[。！？!?；;，,：:]") & first.rlike(r"^[A-Za-z0-9一-鿿·・•《》()（）\-—_ ]+$") & at_top
+        return F.when(first.rlike(HEADING) | standalone, F.left(first, F.lit(120))).otherwise(F.lit(""))
+
+    return T.let(F.coalesce(F.get(lines, 0), F.lit("")), heading)
 
 
 def sections(units: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.functions import text as T
 from tidemark.functions.embedding import hashed_embedding
 from tidemark.operators import chunking, entities, fusion, maintenance, metrics, search, structure
 from tidemark.plans import evidence
+from tidemark.sources.tables import stored
 from tidemark.sources.text_sources import csv_text
 
 QUERIES: dict = {}
@@ -663,11 +664,10 @@ def _relevant(spark, sf_dir):
     """Documents that hold a question's passage; candidates share the passage's rarest token, so no pair is formed without one."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = _questions(spark, sf_dir)
-    terms = asked.select("query_id", F.explode(T.search_tokens(F.col("text"))).alias("term"))
-    index = search.postings(docs, "chunk_id").select("chunk_id", "term").join(search.small(terms.select("term").distinct()), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
     # a passage's first and last words may be parts of words in the document, so only inner words of it count
     inner = asked.select("query_id", F.explode(T.search_tokens(F.regexp_replace("text", r"^\S*\s|\s\S*$", " "))).alias("term"))
+    index = stored(search.postings(docs, "chunk_id", terms=inner).where("term <> ''").select("chunk_id", "term"), "passages")
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
     pairs = index.join(search.small(rarest), "term").select("query_id", "chunk_id").distinct()
     texts = docs.join(search.small(pairs), "chunk_id").join(search.small(asked.withColumnRenamed("text", "passage")), "query_id")
