@@ -27,7 +27,7 @@ FEATURES = 1 << 18
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-4, 1e-4, 3
 UNDETERMINED = "und"
 #: Characters that are scored at once.
-BLOCK = 2_000_000
+BLOCK = 400_000
 
 
 def _letter_codes() -> np.ndarray:

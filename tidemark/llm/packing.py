@@ -18,23 +18,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, written
-from .pretokens import Ids, byte_pretokens, special_strings
+from .pretokens import byte_pretokens, id_bytes, kept, special_strings
 
 CAPACITY = 2048
 END = b"\0\0\0\0"  # the id that follows every document
 
-_IDS: dict = {}
+class Encoder:
+    """The library's ids of texts, without special tokens added, as little-endian unsigned 32-bit numbers."""
 
+    def __init__(self, path: str):
+        self.ids, (self.split, self.special) = id_bytes(path).__getitem__, special_strings(path)
 
-def encoded(text: str, path: str) -> bytes:
-    """The library's ids of a text, without special tokens added, as little-endian unsigned 32-bit numbers."""
-    if path not in _IDS:
-        _IDS[path] = (Ids(path), *special_strings(path))
-    ids, split, special = _IDS[path]
-    get = ids.__getitem__
-    if "<|" not in text:
-        return b"".join(map(get, byte_pretokens(text)))
-    return b"".join(special[x].to_bytes(4, "little") if x in special else b"".join(map(get, byte_pretokens(x))) for x in split.split(text))
+    def __call__(self, text: str) -> bytes:
+        ids = self.ids
+        if "<|" not in text:
+            return b"".join(map(ids, byte_pretokens(text)))
+        parts = self.split.split(text)
+        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else b"".join(map(ids, byte_pretokens(x))) for x in parts)
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -45,10 +45,11 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = kept("ids", path, lambda: Encoder(path))
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = encoded(text or "", path) + END
+                found = encoded(text or "") + END
                 for k, (s, n) in enumerate(piece_bounds(len(found) // 4, capacity)):
                     ids.append(doc_id)
                     piece.append(k)
@@ -88,7 +89,7 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
             first, n = rooms[room].pop()
             if not rooms[room]:
                 mask ^= 1 << room
-            k = min(n, left)
+            k = min(n, -(-left // (room // size)))  # gaps that the pieces fill; the next rounds take what is left of them first
             if k < n:
                 put(room, first + k, n - k)
             put(room - size, first, k)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .pretokens import Lengths, special_strings, tokenizer, word_pretokens
+from .pretokens import kept, lengths, special_strings, tokenizer, word_pretokens
 
 #: Entries of the broadcast table; with its keys under 1 MB.
 FREQUENT = 8192
@@ -73,16 +73,9 @@ def frequent_pretokens(texts: DataFrame, path: str, size: int = FREQUENT) -> dic
     return {k: len(encode(k, add_special_tokens=False).ids) for k, _ in top}
 
 
-_CACHES: dict = {}
-
-
 def _counter(path: str, frequent, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, frequent.id if hasattr(frequent, "id") else id(frequent))
-        if key not in _CACHES:
-            _CACHES.clear()
-            _CACHES[key] = Lengths(path, frequent.value)
-        length = _CACHES[key].__getitem__
+        length = kept("lengths", path, lambda: lengths(path, frequent.value)).__getitem__  # whichever table a cache began with, lengths are the same
         split, ids = special_strings(path)
         for batch in batches:
             n_bytes, n_tokens = [], []
