@@ -759,3 +759,28 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = _bm25(spark, sf_dir)
     held = _relevant(spark, sf_dir).select("query_id", "chunk_id", F.lit(True).alias("holds_passage"))
     return ranked.join(held, ["query_id", "chunk_id"], "left").withColumn("holds_passage", F.coalesce("holds_passage", F.lit(False)))
+
+
+# the engine end to end
+
+
+def _engine(spark, sf_dir):
+    from tidemark import engine
+
+    index = engine.build_index(_units(spark, sf_dir).select("document_id", "unit", "text", "n_units"))
+    questions = _questions(spark, sf_dir).withColumn("terms", F.slice(F.split("text", " "), 1, 2))
+    return index, questions, engine.retrieve(index, questions)
+
+
+@query()
+def engine_search(spark, sf_dir):
+    return _engine(spark, sf_dir)[2].results.select("query_id", "rank", "chunk_id", "document_id", "kind", "score", "channels", "anchored", "focused")
+
+
+@query()
+def engine_context(spark, sf_dir):
+    from tidemark import engine
+
+    index, questions, found = _engine(spark, sf_dir)
+    context = engine.contexts(index, questions, found)
+    return context.join(engine.confidences(found), "query_id")
