@@ -210,3 +210,45 @@ def test_paged_units(spark):
     rows = text_sources.paged_units(spark.createDataFrame(blocks, f"file_name string, {text_sources.BLOCKS}")).orderBy("unit").collect()
     assert [r["text"].split("\n\n")[1] for r in rows] == ["left column one", "left column two", "right column one", "right column two"]
     assert rows[0]["text"].startswith("第 1 页")
+
+
+def test_bundle_keeps_anchors_and_budget(spark):
+    from tidemark.functions.requirements import source_bundle
+
+    def wanted(value, most, anchors):
+        budget, n = max(240, most), len(value)
+        if n <= budget:
+            return value
+        width = max(150, min(420, budget // 4))
+        lefts = [value.lower().find(a.lower()) + len(a) // 2 - width // 2 for a in anchors if len(a) > 1 and a.lower() in value.lower()][:3]
+        spans = []
+        for left in lefts + [(n - width) * i // 3 for i in range(4)]:
+            right = min(n, max(0, left) + width)
+            spans.append((max(0, right - width), right))
+        spans.sort()
+        merged = [list(spans[0])]
+        for a, b in spans[1:]:
+            if a > merged[-1][1] + 24:
+                merged.append([a, b])
+            else:
+                merged[-1][1] = max(merged[-1][1], b)
+        parts, used = [], 0
+        for a, b in merged:
+            s = value[a:b].strip(" ")
+            size = len(s) + (7 if parts else 0)
+            if used + size > budget:
+                if budget - used - 7 >= 100:
+                    parts.append(s[: budget - used - 7].rstrip(" "))
+                break
+            parts.append(s)
+            used += size
+            if used >= budget:
+                break
+        return "\n[…]\n".join(parts)
+
+    random.seed(11)
+    texts = ["".join(random.choices("abc ", k=n)).strip() + " Anchor here " + "".join(random.choices("xyz ", k=m)).strip() for n, m in ((10, 20), (600, 900), (3000, 10), (20, 5000), (900, 900))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", source_bundle(F.col("t"), 600, F.array(F.lit("anchor"), F.lit("nowhere"))).alias("b")).collect()
+    for r in rows:
+        assert r["b"] == wanted(texts[r["i"]], 600, ["anchor", "nowhere"])
+        assert len(r["b"]) <= 620

@@ -10,6 +10,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import requirements
 from tidemark.functions import text as T
 from tidemark.functions.embedding import hashed_embedding
 from tidemark.operators import chunking, entities, fusion, maintenance, metrics, search, structure
@@ -761,6 +762,55 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.join(held, ["query_id", "chunk_id"], "left").withColumn("holds_passage", F.coalesce("holds_passage", F.lit(False)))
 
 
+# evidence by tests
+
+_SQL_TESTS = {n: requirements.PATTERNS[n] for n in ("relation_statement", "unit_or_context", "author_or_publisher", "definition_or_callsite", "table_header_context")}
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(source || ' child ' || text, '(?i){p}') AS {n}" for n, p in _SQL_TESTS.items()) + ", length(trim(text)) >= 60 AS clause_text, contains(text, '|') OR contains(text, chr(9)) AS table_cell_or_row, length(trim(text)) >= 40 AS answer_statement FROM documents")
+def evidence_tests(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", F.lit("child"), "text").alias("s"))
+    found = requirements.tests(F.col("s"), F.col("text"), F.lit("child"), F.array().cast("array<string>"))
+    return rows.select("doc_id", *[found[n].alias(n) for n in [*_SQL_TESTS, "clause_text", "table_cell_or_row", "answer_statement"]])
+
+
+@query()
+def evidence_requirements(spark, sf_dir):
+    rows = _placed(spark, sf_dir).withColumns({"title": F.col("file_name"), "section_path": F.lit(None).cast("string"), "kind": F.lit("child"), "score": 1.0 / (60 + F.col("rank")), "focus": F.array().cast("array<string>")})
+    return requirements.by_requirements(rows, ["numeric_value", "unit_or_context", "answer_statement"]).select("query_id", "rank", "chunk_id", "coverage", "prior", "new_rank")
+
+
+@query(f"""WITH {_PLACED_SQL}, q AS (SELECT item_id AS query_id, {s_tokens('text')} AS q FROM benchmark), t AS (SELECT query_id, rank, chunk_id, {s_tokens('text')} AS t FROM pl)
+SELECT query_id, rank, chunk_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6)::DOUBLE AS overlap FROM t JOIN q USING (query_id)""")
+def keyword_overlap(spark, sf_dir):
+    asked = _questions(spark, sf_dir).select("query_id", T.search_tokens(F.col("text")).alias("q"))
+    rows = _placed(spark, sf_dir).join(search.small(asked), "query_id")
+    return rows.select("query_id", "rank", "chunk_id", F.round(requirements.keyword_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+
+
+@query("""SELECT doc_id, round(CASE WHEN contains(regexp_replace(source || ' ' || text, '[\\s·・•《》「」『』“”"''：:，,。？?！!、()（）\\[\\]【】\\-_—.]+', '', 'g'), 'src1') THEN 1.12 ELSE 0.28 END * CASE WHEN length(trim(text)) < 80 THEN 0.65 ELSE 1 END
+* CASE WHEN regexp_matches(text, '(?i)图书在版|CIP|ISBN|责任编辑|出版社|作者介绍|目录|目次|CONTENTS|版权|前言|序言|附录|编者|本书人物原型') THEN CASE WHEN doc_id % 40 <= 12 THEN 0.45 ELSE 0.7 END WHEN doc_id % 40 <= 12 THEN 0.75 ELSE 1 END
+* CASE WHEN regexp_matches(text, '(?i)第\\s*[一二三四五六七八九十百\\d]+\\s*[章节回]|chapter') THEN 1.04 ELSE 1 END, 6)::DOUBLE AS factor FROM documents""".replace("\\\\", "\\"))
+def content_quality(spark, sf_dir):
+    factor = requirements.content_quality(F.col("source"), F.col("text"), F.col("doc_id") % 40, F.lit("what is it"), F.array(F.lit("src1")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(factor, 6).alias("factor"))
+
+
+@query()
+def source_bundle(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", requirements.source_bundle(F.col("text"), 1200, F.array(F.lit("license"), F.lit("the"))).alias("bundle"))
+
+
+@query("SELECT doc_id, [x for x in list_distinct([source, source]) if x <> ''][1] AS first FROM documents")
+def surface_variants(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(T.surface_variants(F.col("source")), 0).alias("first"))
+
+
+@query(f"WITH {_CARD_SQL} SELECT title AS document_id, chunk_id FROM cd WHERE kind = 'section_card' QUALIFY row_number() OVER (PARTITION BY title ORDER BY chunk_id) <= 80")
+def document_outline(spark, sf_dir):
+    return maintenance.document_outline(_cards(spark, sf_dir).withColumnRenamed("title", "document_id")).select("document_id", "chunk_id")
+
+
 # the engine end to end
 
 
