@@ -251,16 +251,27 @@ def surface_variants(c: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(c, entity_key(c)), runs)), lambda x: F.btrim(x) != "")
 
 
+# What marks a type of document, in the order in which they are tried; of lower-cased text but for the third,
+# and the fifth also of the file's name.
+DOCUMENT_TYPES = {
+    "contract": r"(合同|协议|甲方|乙方|违约|contract|agreement)",
+    "policy": r"(制度|政策|办法|条例|policy|procedure)",
+    "technical_doc": r"(def |class |function|api|README|```|参数|接口)",
+    "report": r"(报告|年度|季度|分析|report)",
+    "book": r"(小说|历险记|chapter|第[一二三四五六七八九十百\d]+章|文学)",
+}
+# Dates, versions, authors, lines that are no titles, titles in brackets.
+DATE = r"(20\d{2}|19\d{2})[-年./](\d{1,2})?[-月./]?(\d{1,2})?"
+VERSION = r"(?i)\b(v?\d+(?:\.\d+){1,3})\b|版本[:：\s]*([A-Za-z0-9_.-]+)"
+AUTHORS = [r"(?i)(?:作者|著|发布方|编者|Author|By)[:：\s]+([^\n]{2,80})", r"([^\n]{1,40})(?:著|编著|译)"]
+NO_TITLE = r"ISBN|CIP|责任编辑|出版社|第\s*\d+\s*页"
+BRACKETED = "《([^》]{2,40})》"
+
+
 def document_type(sample: Column, lower_name: Column) -> Column:
     low = F.lower(sample)
-    return (
-        F.when(low.rlike("(合同|协议|甲方|乙方|违约|contract|agreement)"), "contract")
-        .when(low.rlike("(制度|政策|办法|条例|policy|procedure)"), "policy")
-        .when(sample.rlike("(def |class |function|api|README|```|参数|接口)"), "technical_doc")
-        .when(low.rlike("(报告|年度|季度|分析|report)"), "report")
-        .when(F.concat(low, lower_name).rlike(r"(小说|历险记|chapter|第[一二三四五六七八九十百\d]+章|文学)"), "book")
-        .otherwise("unknown")
-    )
+    over = {"technical_doc": sample, "book": F.concat(low, lower_name)}
+    return F.coalesce(*[F.when(over.get(kind, low).rlike(pattern), F.lit(kind)) for kind, pattern in DOCUMENT_TYPES.items()], F.lit("unknown"))
 
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
@@ -268,29 +279,27 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def infer_date(c: Column) -> Column:
-    return first_match(c, r"(20\d{2}|19\d{2})[-年./](\d{1,2})?[-月./]?(\d{1,2})?")
+    return first_match(c, DATE)
 
 
 def infer_version(c: Column) -> Column:
-    pattern = r"(?i)\b(v?\d+(?:\.\d+){1,3})\b|版本[:：\s]*([A-Za-z0-9_.-]+)"
-    return F.concat(first_match(c, pattern, 1), first_match(c, pattern, 2))
+    return F.concat(first_match(c, VERSION, 1), first_match(c, VERSION, 2))
 
 
 def infer_author(c: Column) -> Column:
-    named = F.btrim(first_match(c, r"(?i)(?:作者|著|发布方|编者|Author|By)[:：\s]+([^\n]{2,80})", 1))
-    return F.when(named != "", named).otherwise(F.btrim(first_match(c, r"([^\n]{1,40})(?:著|编著|译)", 1)))
+    """By the first pattern that finds one; the empty string if none does."""
+    return F.coalesce(*[F.nullif(F.btrim(first_match(c, p, 1)), F.lit("")) for p in AUTHORS], F.lit(""))
 
 
 def infer_title(c: Column, stem: Column) -> Column:
     """The first of eight lines of 2 to 80 characters that is no imprint or page mark; else the file's stem."""
     lines = F.transform(F.split(c, "\n"), lambda x: F.btrim(x))
     fit = F.slice(F.filter(lines, lambda x: (F.char_length(x) >= 2) & (F.char_length(x) <= 80)), 1, 8)
-    good = F.filter(fit, lambda x: ~x.rlike(r"ISBN|CIP|责任编辑|出版社|第\s*\d+\s*页"))
-    return F.coalesce(F.get(good, 0), stem)
+    return F.coalesce(F.get(F.filter(fit, lambda x: ~x.rlike(NO_TITLE)), 0), stem)
 
 
 def topics_of(c: Column, title: Column) -> Column:
-    found = F.concat(F.array(title), F.regexp_extract_all(c, F.lit("《([^》]{2,40})》"), F.lit(1)))
+    found = F.concat(F.array(title), F.regexp_extract_all(c, F.lit(BRACKETED), F.lit(1)))
     return F.slice(F.filter(F.array_distinct(F.transform(found, lambda x: F.btrim(x))), lambda x: x != ""), 1, 8)
 
 

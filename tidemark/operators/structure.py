@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+# The name of text without a heading, explicit headings, marks of pages.
 BODY = "正文"
 HEADING = r"(?i)^(第[一二三四五六七八九十百\d]+[章节条]|CHAPTER\s+\w+|PART\s+\w+|#{1,6}\s+|\d+(?:\.\d+)+)"
 PAGE_MARK = r"^第\s*\d+\s*页(?:（OCR 识别）)?$"
