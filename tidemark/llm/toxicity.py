@@ -22,7 +22,7 @@ from .common import fold, kept_by_text, read_table, uniform
 from .pretokens import Remembering
 
 #: Labelled documents that lexicon, trees and calibration are fitted on, as an expected number.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 8_000
 #: Stated insults and second-person words.
 INSULTS = frozenset("idiot moron loser pathetic worthless scum clown disgusting trash stupid dumb imbecile fool garbage vermin filth ugly crap shit bastard jerk hate kill idiota imbécil estúpido basura asqueroso tonto abruti connard imbécile débile ordure crétin dummkopf trottel arschloch abschaum idiotin".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine euch ihr sie usted ustedes vosotros".split())
