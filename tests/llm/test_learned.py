@@ -264,6 +264,28 @@ def test_calibration_rises():
     assert (np.diff(points) > 0).all() and (np.diff(values) >= 0).all()
 
 
+CLASHES = ["size", "score", "row_key", "key", "row", "_key", "f0", "node", "held_out", "chunk", "_row", "_text", "skey", "target", "full", "at", "label", "toxic", "length", "rank", "t", "s", "_k", "_b", "lang_pred", "n_words", "kept"]
+
+
+def test_extra_columns_may_have_any_name(spark, small):
+    from tidemark.llm import minhash, mixing, quality
+
+    plain = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    odd = plain.select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHES])
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for run in (
+        lambda d: toxicity.score_toxicity(d, labels), lambda d: tokens.count_tokens(d, path), simhash.simhash_components, mixing.mix_sources, minhash.fingerprint_documents, langid.identify_languages,
+        quality.quality_report, lambda d: packing.pack_documents(d, path),
+    ):
+        a, b = run(plain), run(odd)
+        assert a.columns == b.columns and Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = stage(spark, plain, small), stage(spark, odd, small)
+        assert b.columns == odd.columns and all(r["size"] == "size!" for r in b.collect()), name
+        assert Counter(r["doc_id"] for r in a.collect()) == Counter(r["doc_id"] for r in b.collect()), name
+
+
 def test_pipeline(spark, small):
     frames = [spark.read.parquet(f"{small}/documents.parquet")]
     for name, stage in corpus_pipeline.STAGES:

@@ -270,14 +270,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     nodes = written(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(written(near_links(nodes, RADIUS), "near"))
     joined = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that the join after it is between plain shuffles, whose large partitions Spark may split
+    least = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = joined.join(least, "root").select("f0", "component_id")
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: For five-word shingles at a resemblance of 0.8: differing bits of the first fingerprint within which partners are sought
-#: (unlike pairs at 0.8 differ in 10 of 64 bits or so, 13 holds nine of ten), and of all four, which tell them from chance.
-STAGE_WORDS, STAGE_RADIUS, STAGE_SEEDS, STAGE_WIDE = 5, 13, (42, 43, 44, 45), 44
+#: (pairs at 0.8 differ in 10 of 64 bits or so), and of all four, which tell them from chance and from less alike ones.
+STAGE_WORDS, STAGE_RADIUS, STAGE_SEEDS, STAGE_WIDE = 5, 13, (42, 43, 44, 45), 42
 
 
 def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, wide_radius: int = STAGE_WIDE) -> DataFrame:
@@ -297,16 +298,14 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     nodes = written(prints.groupBy("node", *fs).agg(F.min(first).alias("first"), F.count("*").alias("rows")), "nodes")
     roots = connected_components(written(near_links(nodes, radius, fs, wide_radius, "node"), "near"))
     joined = nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = joined.groupBy("root").agg(F.min("first").alias("kept"), F.sum("rows").alias("n")).where("n > 1")
+    kept = written(joined.groupBy("root").agg(F.min("first").alias("kept"), F.sum("rows").alias("n")).where("n > 1"), "kept")
     lost = written(prints.join(joined.select("node", "root").join(kept, "root").select("node", F.col("kept.row_key").alias("kept_key")), "node").where("row_key <> kept_key").select("row_key").distinct(), "lost")
-    out = docs.withColumn("_key", row_key).join(lost, F.col("_key") == F.col("row_key"), "left_anti")
-    repeated = prints.groupBy("row_key").count().where("count > 1").select("row_key")
-    if repeated.isEmpty():
-        return out.drop("_key")
-    twice = written(repeated, "twice")
-    once = out.join(twice, F.col("_key") == F.col("row_key"), "left_anti")
-    more = out.join(twice, F.col("_key") == F.col("row_key"), "left_semi").dropDuplicates(["_key"])
-    return once.unionByName(more).drop("_key")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key.alias("key")).join(lost, F.col("key") == F.col("row_key"), "left_anti")
+    twice = written(prints.groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
+    if not twice.isEmpty():
+        once = out.join(twice, F.col("key") == F.col("row_key"), "left_anti")
+        out = once.unionByName(out.join(twice, F.col("key") == F.col("row_key"), "left_semi").dropDuplicates(["key"]))
+    return out.select("row.*")
 
 
 def _stage_fingerprinter(words: int):
