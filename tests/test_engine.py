@@ -252,3 +252,32 @@ def test_bundle_keeps_anchors_and_budget(spark):
     for r in rows:
         assert r["b"] == wanted(texts[r["i"]], 600, ["anchor", "nowhere"])
         assert len(r["b"]) <= 620
+
+
+def test_judged_order(spark):
+    rows = [(1, 1, 0.5, 0.2, 0.9, 0), (1, 2, 0.1, 0.8, 0.1, 2), (1, 3, 0.9, None, None, None), (1, 4, 0.2, 0.8, 0.5, 0)]
+    table = spark.createDataFrame(rows, "query_id int, rank int, score double, answerability double, relevance double, qualified int")
+    assert [r["rank"] for r in evidence.judged_order(table).orderBy("new_rank").collect()] == [4, 2, 1, 3]
+    out = evidence.judged_order(table, enumerate_claims=True).orderBy("new_rank").collect()
+    assert [r["rank"] for r in out] == [2, 4, 1, 3] and out[0]["boosted"] == round(0.1 + 0.016 + 0.03, 6) and out[3]["boosted"] == 0.9
+
+
+def test_enumeration_pool(spark):
+    names = "query_id int, rank int, chunk_id string, kind string, position double"
+    found = spark.createDataFrame([(1, i, f"c{i}", "child" if i != 2 else "entity_card", i / 10) for i in range(1, 7)], names)
+    windows = spark.createDataFrame([(1, 1, "w1", "terminal_window", 0.99), (1, 2, "c1", "child", 0.1)], names)
+    assert [r["chunk_id"] for r in fusion.enumeration_pool(found, windows, 4).orderBy("rank").collect()] == ["c1", "c4", "w1", "c3"]
+
+
+def test_second_pass():
+    batches = []
+
+    def judge(batch):
+        batches.append(len(batch))
+        return [c | {"ok": c["chunk_id"] == "p20"} for c in batch]
+
+    pool = [{"chunk_id": f"p{i}"} for i in range(40)]
+    out = evidence.second_pass(pool[:3], pool, judge, 12, lambda c: c.get("ok", False))
+    assert batches == [12, 12] and [c["chunk_id"] for c in out] == [f"p{i}" for i in range(27)] and out[20]["ok"]
+    head = [{"chunk_id": "x", "ok": True}]
+    assert evidence.second_pass(head, pool, judge, 12, lambda c: c["ok"]) == head and len(batches) == 2

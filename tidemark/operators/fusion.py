@@ -141,6 +141,27 @@ def reserved_places(ranked: DataFrame, navigation: DataFrame, k: int, coverage:
     return rows.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).drop("nav")
 
 
+# Kinds of records that are source text.
+SOURCE_KINDS = ["navigation_window", "terminal_window", "child", "parent"]
+
+
+def enumeration_pool(candidates: DataFrame, navigation: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, chunk_id: source records of both lists (query_id, rank, chunk_id, kind, position), candidates first, spread over positions.
+
+    A chunk counts once; the first of each of min(8, max(3, k // 4)) position bins leads, then the lists' order goes on.
+    """
+    names = ["query_id", "rank", "chunk_id", "kind", "position"]
+    both = candidates.select(*names, F.lit(0).alias("src")).unionByName(navigation.select(*names, F.lit(1).alias("src"))).where(F.col("kind").isin(*SOURCE_KINDS))
+    once = both.groupBy("query_id", "chunk_id").agg(F.min(F.struct("src", "rank")).alias("o"), F.first("position", ignorenulls=True).alias("position"))
+    bins = min(8, max(3, k // 4))
+    place = F.least(F.lit(bins - 1), F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("position", F.lit(0.5)))) * bins))
+    rows = once.withColumns({"bin": place, "few": F.count("*").over(Window.partitionBy("query_id")) <= k})
+    head = F.row_number().over(Window.partitionBy("query_id", "bin").orderBy("o", "chunk_id")) == 1
+    tier = F.when(F.col("few") | ~F.col("head"), 1).otherwise(0)
+    order = Window.partitionBy("query_id").orderBy(tier, F.when(tier == 0, F.col("bin")), "o", "chunk_id")
+    return rows.withColumn("head", head).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id")
+
+
 def with_parent_text(children: DataFrame, parents: DataFrame) -> DataFrame:
     """children (parent_id, text, ...) with source_text: the parent's text where there is one that isn't empty."""
     held = parents.select(F.col("parent_id"), F.col("parent_text").alias("_p"))
