@@ -87,19 +87,43 @@ def kept(kind: str, path: str, make):
 
 def lengths(path: str, frequent: dict[str, int]) -> Remembering:
     """Pre-token (or run of characters) to its number of tokens: from the table of frequent ones, else encoded when first met."""
-    encode = tokenizer(path).encode
+    whole, model, letters = tokenizer(path).encode, tokenizer(path).model, _byte_letters()
 
     def length(key: str) -> int:
-        n = frequent.get(key)
-        return len(encode(key, add_special_tokens=False).ids) if n is None else n
+        if (n := frequent.get(key)) is not None:
+            return n
+        if key.isascii() or OTHER.search(key) is None:  # cut here, so it is in lower case and needs no further cutting
+            return len(model.tokenize(key.translate(letters)))
+        return len(whole(key, add_special_tokens=False).ids)
 
     return Remembering(length)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write a common character's UTF-8 bytes: visible Latin-1 characters stand
+    for themselves, the other bytes, in order, for the characters from U+0100 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in visible]
+    letter = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    common = [*map(chr, range(0x180)), *SIGNS]
+    return {ord(c): "".join(letter[b] for b in c.encode()) for c in common}
+
+
 def id_bytes(path: str) -> Remembering:
-    """Pre-token (or run of characters) to its ids as little-endian unsigned 32-bit numbers."""
-    encode = tokenizer(path).encode
-    return Remembering(lambda key: np.array(encode(key, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    """Pre-token (or run of characters) to its ids as little-endian unsigned 32-bit numbers.
+
+    A pre-token of common characters goes to the library's model at once; its text needs no further cutting.
+    """
+    whole, model, letters = tokenizer(path).encode, tokenizer(path).model, _byte_letters()
+
+    def ids(key: str) -> bytes:
+        if key.isascii() or OTHER.search(key) is None:
+            found = [t.id for t in model.tokenize(key.translate(letters))]
+        else:
+            found = whole(key, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
+
+    return Remembering(ids)
 
 
 def word_pretokens(text: str) -> list[str]:
