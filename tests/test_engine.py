@@ -281,3 +281,12 @@ def test_second_pass():
     assert batches == [12, 12] and [c["chunk_id"] for c in out] == [f"p{i}" for i in range(27)] and out[20]["ok"]
     head = [{"chunk_id": "x", "ok": True}]
     assert evidence.second_pass(head, pool, judge, 12, lambda c: c["ok"]) == head and len(batches) == 2
+
+
+def test_sources_reach_the_workers(spark, monkeypatch):
+    from tidemark import shipping
+
+    monkeypatch.setattr(shipping, "_found_by_workers", lambda: False)
+    shipping.ship(spark)
+    shipping.ship(spark)
+    assert any("tidemark-src.zip" in f for f in spark.sparkContext.listFiles)
