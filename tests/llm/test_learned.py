@@ -224,6 +224,11 @@ def test_language(spark):
     assert blind == {"und"}
 
 
+def test_letters_decide():
+    assert not len(langid.codes_of("🎉 123 ½ _ \u0301")) and not len(langid.codes_of("")) and all(len(langid.codes_of(t)) for t in ("𝒜", "漢", "ª", "x"))
+    assert langid.codes_of("a--B").tolist() == [0, 1, 0, 2, 0]
+
+
 def test_scores_do_not_depend_on_neighbours():
     model = langid.train([("a", *langid.counts_of("abab baba abab")), ("b", *langid.counts_of("xyxy yxyx xyxy"))] * 10)
     texts = ["abab", "x", "yx yx", "", "ab xy", "b"]

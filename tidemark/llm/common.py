@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,12 +71,43 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch of whole texts, and of the part of it whose texts are Python strings at once.
+BATCH_ROWS, SLICE_ROWS = 1000, 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers BATCH_ROWS at a time, unless the session sets a number of its own.
+
+    The default of 10,000 rows (up to 64 MB) is held several times over, beside the heap of the executor and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices without copies; at the end what the task has freed goes back to the machine."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Workers live on between tasks; allocators would keep what they have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept_by_text(docs: DataFrame, keeps: Callable[[list], list[bool]], text_col: str = "text") -> DataFrame:
     """The rows of docs whose text a function of a batch of texts keeps; each row goes through Python once."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

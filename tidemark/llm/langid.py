@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, kept_by_text, read_table, uniform
+from .common import fold, kept_by_text, read_table, slices, small_batches, uniform
 
 #: Labelled documents that the classifier is fitted on, as an expected number; the bound on what comes to the driver.
 SAMPLE_DOCS = 4000
@@ -48,7 +48,10 @@ def codes_of(text: str) -> np.ndarray:
     if not _CODES:
         _CODES.append(_letter_codes())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(points < 0x10000, _CODES[0][np.minimum(points, 0xFFFF)], np.uint32(28) + points % np.uint32(227))
+    codes = _CODES[0][np.minimum(points, 0xFFFF)]
+    beyond = points >= 0x10000
+    if beyond.any():
+        codes[beyond] = [28 + p % 227 if unicodedata.category(chr(p))[0] == "L" else 0 for p in points[beyond].tolist()]
     codes = codes[(codes > 0) | (np.concatenate([[1], codes[:-1]]) > 0)]
     if not codes.any():
         return np.empty(0, np.uint32)
@@ -153,10 +156,11 @@ def sample_grams(docs: DataFrame, held_out, sample_docs: int = SAMPLE_DOCS) -> l
     drawn = labelled.where(uniform(F.col("doc_id"), "lang:") < min(1.0, sample_docs / max(n, 1))).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [counts_of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.string()), "lang": batch.column(1), "ids": pa.array([x[0].tolist() for x in found], pa.list_(pa.int32())), "shares": pa.array([x[1].astype(np.float32).tolist() for x in found], pa.list_(pa.float32()))})
 
+    small_batches(docs.sparkSession)
     rows = drawn.mapInArrow(run, "doc_id string, lang string, ids array<int>, shares array<float>").toPandas()
     rows = rows[rows["ids"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable")
     return [(lang, np.asarray(i, np.int64), np.asarray(s, np.float64)) for lang, i, s in zip(rows["lang"], rows["ids"], rows["shares"], strict=True)]
@@ -213,10 +217,11 @@ def fit_language_model(docs: DataFrame, held_out=None) -> Model:
 
 def predict_language(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep with lang_pred and score appended, for every row and whole texts."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES x languages x 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = score_texts(batch.column(0).to_pylist(), shared.value)
             yield pa.RecordBatch.from_pydict(dict(zip(keep, batch.columns[1:], strict=True)) | {"lang_pred": pa.array(names, pa.string()), "lang_score": pa.array(scores, pa.float64())})
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, slices, small_batches, written
 from .pretokens import byte_pretokens, id_bytes, kept, special_strings
 
 CAPACITY = 2048
@@ -46,7 +46,7 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = kept("ids", path, lambda: Encoder(path))
-        for batch in batches:
+        for batch in slices(batches):
             ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = encoded(text or "") + END
@@ -118,6 +118,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     columns are not read; an empty table gives an empty table. Ties go by chunk of the written table, id and piece.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(_cut(path, capacity), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
     pieces = written(pieces.withColumn("chunk", F.spark_partition_id()), "pieces")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, uniform, written
+from .common import read_table, release_memory, slices, small_batches, uniform, written
 from .components import connected_components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -60,7 +60,7 @@ def majority(hashes: np.ndarray) -> np.ndarray:
 
 def _fingerprinter(words: int, seeds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = np.array([majority(shingle_hashes(t or "", words, seeds)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(seeds))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {f"f{k}": pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(seeds))})
 
@@ -69,6 +69,7 @@ def _fingerprinter(words: int, seeds: tuple[int, ...]):
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """doc_id and fingerprints f0, f1.. (bigint) of whole texts; a text without words, or null, has zero."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_fingerprinter(words, seeds), ", ".join([f"doc_id {id_type}", *(f"f{k} long" for k in range(len(seeds)))]))
 
@@ -168,7 +169,7 @@ def _leaf(forest: Forest, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray
     open_, queue, seen = at, [], set()
     seeds, p = at[~visits].tolist(), 0
     while True:
-        room = max(1, min(256, 2_000_000 // max(1, len(open_))))
+        room = max(1, min(256, 500_000 // max(1, len(open_))))
         rows, queue = queue[:room], queue[room:]
         while not rows and p < len(seeds):
             rows = [x for x in seeds[p : p + room] if x not in seen]
@@ -250,6 +251,8 @@ def near_links(distinct: DataFrame, radius: int, wide_columns: list[str] | None
         root = shard_links(f, wide, frame["visits"].to_numpy(bool), mask, r, radius, wide_radius)
         linked = np.flatnonzero(root != np.arange(len(f)))
         values = frame[id_col].to_numpy()
+        if len(frame) > 2 * SHARD:
+            release_memory()
         return pd.DataFrame({"a": values[linked], "b": values[root[linked]]})
 
     return distinct.select(*columns).mapInArrow(places, f"{fields}, shard long, visits boolean").groupBy("shard").applyInPandas(within, "a long, b long")
@@ -288,6 +291,7 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     is known by a hash of id and text; rows alike in both are copies, of which one stays. Texts without words are copies
     of each other. Columns stay as they are; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     width = len(STAGE_SEEDS)
     fs = [f"f{k}" for k in range(width)]
     row_key = F.xxhash64("doc_id", "text")
@@ -310,7 +314,7 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
 
 def _stage_fingerprinter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = np.array([majority(shingle_hashes(t or "", words, STAGE_SEEDS)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(STAGE_SEEDS))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row_key": batch.column(2)} | {f"f{k}": pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(out.shape[1])})
 

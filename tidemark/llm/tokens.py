@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices, small_batches
 from .pretokens import kept, lengths, special_strings, tokenizer, word_pretokens
 
 #: Entries of the broadcast table; with its keys under 1 MB.
@@ -28,7 +28,7 @@ def _summaries(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, ids = special_strings(path)
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     for part in split.split(text) if "<|" in text else (text,):
@@ -77,7 +77,7 @@ def _counter(path: str, frequent, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = kept("lengths", path, lambda: lengths(path, frequent.value)).__getitem__  # whichever table a cache began with, lengths are the same
         split, ids = special_strings(path)
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = OVER) -> DataFrame:
     the library has them by default. Repeated rows and null ids each give a row; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     frequent = spark.sparkContext.broadcast(frequent_pretokens(docs.select("text"), path))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_counter(path, frequent, limit), f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")

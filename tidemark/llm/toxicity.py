@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, kept_by_text, read_table, uniform
+from .common import fold, kept_by_text, read_table, slices, small_batches, uniform
 from .pretokens import Remembering
 
 #: Labelled documents that lexicon, trees and calibration are fitted on, as an expected number.
@@ -285,11 +285,12 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep and toxicity, the calibrated score of each row's whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(shared.value.lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([scan.features(t) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, -1)
             score = shared.value.scores(x) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_pydict(dict(zip(keep, batch.columns[1:], strict=True)) | {"toxicity": pa.array(score, pa.float64())})
