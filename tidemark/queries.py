@@ -15,7 +15,7 @@ from tidemark.functions import text as T
 from tidemark.functions.embedding import hashed_embedding
 from tidemark.operators import chunking, entities, fusion, maintenance, metrics, search, structure
 from tidemark.plans import evidence
-from tidemark.sources.tables import stored
+from tidemark.sources.tables import spread, stored
 from tidemark.sources.text_sources import csv_text
 
 QUERIES: dict = {}
@@ -33,7 +33,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found  # whose texts take time
 
 
 # SQL of the text functions
