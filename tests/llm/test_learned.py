@@ -188,6 +188,27 @@ def test_forest_loses_no_link(spark, monkeypatch, radius):
     assert [min(groups[top(i)]) for i in range(len(f))] == wanted
 
 
+def test_leaf_keeps_links_between_reached_positions():
+    """Sparse 4-chains s1-q1-q2-s2 in one leaf, the ends before the middles, so that both ends are searched from at once."""
+    r = np.random.default_rng(5)
+    base = [int(x) for x in r.integers(0, 1 << 63, 300, dtype=np.uint64)]
+    ends, middles = [], []
+    for x in base:
+        bits = [1 << int(b) for b in r.choice(64, 12, replace=False)]
+        chain = [x]
+        for k in range(3):
+            for b in bits[4 * k : 4 * k + 4]:
+                x ^= b
+            chain.append(x)
+        ends += [chain[0], chain[3]]
+        middles += chain[1:3]
+    for f in (ends + middles, [int(x) for x in r.permutation(np.array(ends + middles, np.uint64))]):
+        assert len(f) > 1000
+        forest = simhash.Forest(len(f))
+        simhash._leaf(forest, np.array(f, np.uint64), None, np.arange(len(f)), np.zeros(len(f), bool), 4, 0)
+        assert [forest.root(i) for i in range(len(f))] == components_of(f, list(range(len(f))), 4)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(5, 5), (7, 6)]
     rows = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()

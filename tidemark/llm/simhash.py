@@ -161,29 +161,47 @@ class Forest:
 
 
 def _leaf(forest: Forest, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray, visits: np.ndarray, radius: int, wide_radius: int) -> None:
-    """Join what is linked among positions at, breadth first: what a component has reached is not a target any more.
+    """Join what is linked among positions at, breadth first: what a component has reached is no target of its own any more.
 
+    What one component has reached and not yet searched from stays a target for the others, as several are searched at once.
     A dense group costs its rows times what lies outside of it, not its square. The search starts from natives only, as
     the pairs of two visitors meet elsewhere.
     """
-    open_, queue, seen = at, [], set()
-    seeds, p = at[~visits].tolist(), 0
-    while True:
-        room = max(1, min(256, 500_000 // max(1, len(open_))))
-        rows, queue = queue[:room], queue[room:]
-        while not rows and p < len(seeds):
-            rows = [x for x in seeds[p : p + room] if x not in seen]
-            p += room
-        if not rows:
-            return
-        seen.update(rows)
-        r = np.array(rows)
-        hit = np.bitwise_count(f[r][:, None] ^ f[open_][None, :]) <= radius
-        hit &= r[:, None] != open_[None, :]
+
+    def hits(r: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(f[r][:, None] ^ f[targets][None, :]) <= radius
+        hit &= r[:, None] != targets[None, :]
         if wide is not None:
             a, b = np.nonzero(hit)
-            far = np.bitwise_count(wide[r[a]] ^ wide[open_[b]]).sum(axis=1, dtype=np.int64) > wide_radius
+            far = np.bitwise_count(wide[r[a]] ^ wide[targets[b]]).sum(axis=1, dtype=np.int64) > wide_radius
             hit[a[far], b[far]] = False
+        return hit
+
+    open_, queue, seen = at, np.empty(0, np.int64), set()
+    seeds, p = at[~visits].tolist(), 0
+    while True:
+        room = max(1, min(256, 500_000 // max(1, len(open_) + len(queue))))
+        if len(queue):
+            roots = np.array([forest.root(x) for x in queue.tolist()])
+            order = np.argsort(roots, kind="stable")
+            queue, roots = queue[order], roots[order]
+            r = queue[:room]
+            others = queue[roots != roots[0]] if roots[len(r) - 1] == roots[0] else queue
+            a, b = np.nonzero(hits(r, others)) if len(others) else ((), ())
+            for x, y in zip(r[a].tolist(), others[b].tolist(), strict=True) if len(a) else ():
+                forest.join(x, y)
+            queue = queue[room:]
+        else:
+            rows: list[int] = []
+            while not rows and p < len(seeds):
+                rows = [x for x in seeds[p : p + room] if x not in seen]
+                p += room
+            if not rows:
+                return
+            r = np.array(rows)
+        rows = r.tolist()
+        seen.update(rows)
+        hit = hits(r, open_)
         a, b = np.nonzero(hit)
         if len(a):
             first = np.argmax(hit, axis=0)
@@ -192,8 +210,7 @@ def _leaf(forest: Forest, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray
             reached = np.unique(b)
             for c, t in zip(first[reached].tolist(), open_[reached].tolist(), strict=True):
                 forest.join(t, rows[c])
-                if t not in seen:
-                    queue.append(t)
+            queue = np.concatenate([queue, [t for t in open_[reached].tolist() if t not in seen]]).astype(np.int64)
             open_ = np.delete(open_, reached)
         open_ = open_[~np.isin(open_, r)]
 
