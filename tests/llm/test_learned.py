@@ -230,6 +230,50 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each_group(twins).count() == 1 and simhash.one_of_each_group(twins.limit(0)).count() == 0
 
 
+def pair_alike(r, n, resemblance):
+    """Two texts with about n five-word shingles each, so many of them shared, and the exact resemblance of their sets."""
+    words = [f"w{x}" for x in r.integers(0, 1 << 40, n + 4)]
+    other = list(words)
+    at = 0
+    while True:
+        a, b = (set(zip(*[w[k:] for k in range(5)])) for w in (words, other))
+        if len(a & b) / len(a | b) <= resemblance:
+            return " ".join(words), " ".join(other), len(a & b) / len(a | b)
+        other[len(other) - 1 - at] = f"v{r.integers(0, 1 << 40)}"
+        at += 1
+
+
+def test_stage_keeps_what_is_less_alike(spark):
+    """Pairs below 0.8, and documents that share nothing but one line many times over."""
+    r = np.random.default_rng(11)
+    texts = [t for x in (0.6, 0.7, 0.75, 0.78) for _ in range(15) for t in pair_alike(r, 200, x)[:2]]
+    line = " ".join(f"l{k}" for k in range(10))
+    texts += [" ".join([f"u{x}" for x in r.integers(0, 1 << 40, 300)] + [line] * 60) for _ in range(10)]
+    assert simhash.one_of_each_group(docs(spark, texts)).count() == len(texts)
+
+
+def test_alike_roots_against_brute_force():
+    r = np.random.default_rng(12)
+    for _ in range(30):
+        sets = []
+        for _ in range(6):
+            b = r.integers(0, 1 << 62, r.integers(1, 40), dtype=np.uint64)
+            for k in range(5):
+                c = b.copy()
+                m = r.integers(0, len(c) // 4 + 2)
+                c[:m] = r.integers(0, 1 << 62, len(c[:m]), dtype=np.uint64)
+                sets.append(np.unique(c))
+                b = c if k % 2 else b
+        up = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if shared / (len(sets[i]) + len(sets[j]) - shared) >= 0.8:
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        assert simhash.alike_roots(sets) == up
+
+
 def test_language(spark):
     random.seed(9)
     parts = {"en": ["the", "tion", "ing", "and", "th"], "de": ["der", "ung", "sch", "ü", "ich"], "fr": ["eau", "le", "é", "que", "ou"]}

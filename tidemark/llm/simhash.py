@@ -296,17 +296,114 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For five-word shingles at a resemblance of 0.8: differing bits of the first fingerprint within which partners are sought
-#: (pairs at 0.8 differ in 10 of 64 bits or so), and of all four, which tell them from chance and from less alike ones.
-STAGE_WORDS, STAGE_RADIUS, STAGE_SEEDS, STAGE_WIDE = 5, 13, (42, 43, 44, 45), 42
+#: Five-word shingles, and the resemblance from which documents are near-duplicates, as a fraction.
+STAGE_WORDS, STAGE_ALIKE, STAGE_SEEDS = 5, (4, 5), (42, 43, 44, 45)
+#: Candidates: differing bits of the first fingerprint within which partners are sought (pairs at 0.8 differ in 10 of 64
+#: bits or so), and of all four, which tell them from chance. Exact resemblance decides afterwards.
+STAGE_RADIUS, STAGE_WIDE = 13, 42
+#: Rows up to which candidates are broadcast to the texts, and candidates of a task to aim at.
+BROADCAST_ROWS, GROUP_ROWS = 500_000, 1_000
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, words)[:, 0])
+
+
+def _set_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint per seed of distinct shingle hashes; all seeds but the first go through a mixing of the first's bits."""
+    each = [hashes]
+    for seed in STAGE_SEEDS[1:]:
+        x = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        each.append(x ^ x >> np.uint64(31))
+    return majority(np.stack(each, axis=1))
+
+
+def alike_roots(sets: list[np.ndarray], alike: tuple[int, int] = STAGE_ALIKE) -> list[int]:
+    """For every set the least position of its component by links of a Jaccard resemblance of alike or more, exactly.
+
+    Two such sets share one of their rarest tokens (as many as may differ, and one). The search is breadth first, so what
+    is reached is no target any more: a dense group costs its rows times what lies outside of it.
+    """
+    p, q = alike
+    n = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(n)])
+    _, tokens, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    each = [np.sort(rank[tokens[a:b]]) for a, b in zip(starts, starts[1:], strict=False)]
+    prefixes = [t[: len(t) - -(-p * len(t) // q) + 1] for t in each]
+    forest = Forest(len(sets))
+    mark, open_ = np.zeros(len(counts), bool), np.ones(len(sets), bool)
+
+    def postings() -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(open_)
+        at = np.concatenate([prefixes[i] for i in left] or [np.empty(0, np.int64)])
+        order = np.argsort(at, kind="stable")
+        return np.searchsorted(at[order], np.arange(len(counts) + 1)), np.repeat(left, [len(prefixes[i]) for i in left])[order]
+
+    (edge, held), size = postings(), len(sets)
+    for seed in range(len(sets)):
+        queue = [seed] if open_[seed] else []
+        open_[seed] = False
+        while queue:
+            i = queue.pop()
+            lists = [held[edge[t] : edge[t + 1]] for t in prefixes[i].tolist() if edge[t + 1] > edge[t]]
+            found = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
+            found = found[open_[found] & (q * n[found] >= p * n[i]) & (q * n[i] >= p * n[found])]
+            if not len(found):
+                continue
+            mark[each[i]] = True
+            shared = np.add.reduceat(mark[np.concatenate([each[j] for j in found])], np.cumsum(n[found]) - n[found], dtype=np.int64)
+            mark[each[i]] = False
+            near = found[q * shared >= p * (n[i] + n[found] - shared)].tolist()
+            for j in near:
+                forest.join(i, j)
+            open_[near] = False
+            queue += near
+            left = int(open_.sum()) if near else size
+            if 2 * left < size:
+                (edge, held), size = postings(), left
+    return [forest.root(i) for i in range(len(sets))]
+
+
+def _exact_roots(docs: DataFrame, loose: DataFrame, words: int) -> DataFrame:
+    """node, root by exact resemblance within every group of candidates; loose: text_key, node, loose of one row per node."""
+    small_batches(docs.sparkSession)
+    n = loose.count()
+    parts = max(1, n // GROUP_ROWS)
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("text_key"))
+    joined = texts.join(F.broadcast(loose) if n <= BROADCAST_ROWS else loose, "text_key")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(t or "", words).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": batch.column(1), "loose": batch.column(2), "part": batch.column(3), "hashes": pa.array(found, pa.binary())})
+
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, roots = [], []
+        for _, group in frame.drop_duplicates("node").groupby("loose", sort=False):
+            ids = np.sort(group["node"].to_numpy())
+            at = group.sort_values("node")
+            found = alike_roots([np.frombuffer(h, np.uint64) for h in at["hashes"]])
+            nodes.append(ids)
+            roots.append(ids[found])
+        release_memory()
+        return pd.DataFrame({"node": np.concatenate(nodes), "root": np.concatenate(roots)})
+
+    hashed = joined.select("text", "node", "loose", F.pmod(F.xxhash64("loose"), F.lit(parts)).alias("part"))
+    return hashed.mapInArrow(sets, "node long, loose long, part long, hashes binary").groupBy("part").applyInPandas(within, "node long, root long")
 
 
 def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, wide_radius: int = STAGE_WIDE) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
 
-    Links need fingerprints within the radius, found by the forest, and 256 bits in four seeds within wide_radius. A row
-    is known by a hash of id and text; rows alike in both are copies, of which one stays. Texts without words are copies
-    of each other. Columns stay as they are; an empty table gives an empty table.
+    Links are pairs whose sets of shingles have a Jaccard resemblance of STAGE_ALIKE or more, decided exactly within groups
+    of candidates: the components by fingerprints within the radius, found by the forest, and 256 bits in four seeds within
+    wide_radius. Equal sets are one node. A row is known by a hash of id and text; rows alike in both are copies, of which
+    one stays. Texts without words are copies of each other. Columns stay as they are; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     width = len(STAGE_SEEDS)
@@ -314,10 +411,12 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     row_key = F.xxhash64("doc_id", "text")
     rows = docs.select("doc_id", "text", row_key.alias("row_key"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(rows.mapInArrow(_stage_fingerprinter(words), ", ".join([f"doc_id {id_type}, row_key long", *(f"{c} long" for c in fs)])).withColumn("node", F.xxhash64(*fs)), "prints")
+    prints = written(rows.mapInArrow(_stage_fingerprinter(words), ", ".join([f"doc_id {id_type}, row_key long, node long", *(f"{c} long" for c in fs)])), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_key"))
     nodes = written(prints.groupBy("node", *fs).agg(F.min(first).alias("first"), F.count("*").alias("rows")), "nodes")
-    roots = connected_components(written(near_links(nodes, radius, fs, wide_radius, "node"), "near"))
+    loose = connected_components(written(near_links(nodes, radius, fs, wide_radius, "node"), "near")).withColumnRenamed("root", "loose")
+    candidates = written(nodes.join(loose, "node").select(F.col("first.row_key").alias("text_key"), "node", "loose"), "candidates")
+    roots = written(_exact_roots(docs, candidates, words), "roots")
     joined = nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = written(joined.groupBy("root").agg(F.min("first").alias("kept"), F.sum("rows").alias("n")).where("n > 1"), "kept")
     lost = written(prints.join(joined.select("node", "root").join(kept, "root").select("node", F.col("kept.row_key").alias("kept_key")), "node").where("row_key <> kept_key").select("row_key").distinct(), "lost")
@@ -332,8 +431,10 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
 def _stage_fingerprinter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = np.array([majority(shingle_hashes(t or "", words, STAGE_SEEDS)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(STAGE_SEEDS))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row_key": batch.column(2)} | {f"f{k}": pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(out.shape[1])})
+            found = [shingle_set(t or "", words) for t in batch.column(1).to_pylist()]
+            out = np.array([_set_fingerprints(h) for h in found], np.uint64).reshape(-1, len(STAGE_SEEDS))
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row_key": batch.column(2), "node": nodes} | {f"f{k}": pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(out.shape[1])})
 
     return run
 
