@@ -252,6 +252,13 @@ def test_stage_keeps_what_is_less_alike(spark):
     assert simhash.one_of_each_group(docs(spark, texts)).count() == len(texts)
 
 
+def test_stage_finds_what_is_alike(spark):
+    """Isolated pairs at 0.8 or a little more."""
+    r = np.random.default_rng(13)
+    pairs = [p for x in (0.81, 0.82, 0.85, 0.9) for _ in range(30) if (p := pair_alike(r, 200, x))[2] >= 0.8]
+    assert len(pairs) > 100 and simhash.one_of_each_group(docs(spark, [t for a, b, _ in pairs for t in (a, b)])).count() == len(pairs)
+
+
 def test_alike_roots_against_brute_force():
     r = np.random.default_rng(12)
     for _ in range(30):

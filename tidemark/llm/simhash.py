@@ -11,6 +11,7 @@ the lower ones are built within a shard. What remains in a leaf is compared by w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -298,9 +299,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 #: Five-word shingles, and the resemblance from which documents are near-duplicates, as a fraction.
 STAGE_WORDS, STAGE_ALIKE, STAGE_SEEDS = 5, (4, 5), (42, 43, 44, 45)
-#: Candidates: differing bits of the first fingerprint within which partners are sought (pairs at 0.8 differ in 10 of 64
-#: bits or so), and of all four, which tell them from chance. Exact resemblance decides afterwards.
-STAGE_RADIUS, STAGE_WIDE = 13, 42
+#: Candidates: differing bits within which partners are sought in each of the four fingerprints (pairs at 0.8 differ in 10
+#: of 64 bits or so; one search finds nine of ten of them), and of all four together (39 or so; 64 is far from both that and
+#: chance). Exact resemblance decides afterwards.
+STAGE_RADIUS, STAGE_WIDE = 13, 64
 #: Rows up to which candidates are broadcast to the texts, and candidates of a task to aim at.
 BROADCAST_ROWS, GROUP_ROWS = 500_000, 1_000
 
@@ -401,8 +403,8 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     """docs without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
 
     Links are pairs whose sets of shingles have a Jaccard resemblance of STAGE_ALIKE or more, decided exactly within groups
-    of candidates: the components by fingerprints within the radius, found by the forest, and 256 bits in four seeds within
-    wide_radius. Equal sets are one node. A row is known by a hash of id and text; rows alike in both are copies, of which
+    of candidates: the components of pairs with any of four fingerprints within the radius, found by a forest for each, and
+    with all their 256 bits within wide_radius. Equal sets are one node. A row is known by a hash of id and text; rows alike in both are copies, of which
     one stays. Texts without words are copies of each other. Columns stay as they are; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
@@ -414,7 +416,9 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     prints = written(rows.mapInArrow(_stage_fingerprinter(words), ", ".join([f"doc_id {id_type}, row_key long, node long", *(f"{c} long" for c in fs)])), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_key"))
     nodes = written(prints.groupBy("node", *fs).agg(F.min(first).alias("first"), F.count("*").alias("rows")), "nodes")
-    loose = connected_components(written(near_links(nodes, radius, fs, wide_radius, "node"), "near")).withColumnRenamed("root", "loose")
+    turned = [nodes.select("node", *[F.col(fs[(k + j) % width]).alias(fs[j]) for j in range(width)]) for k in range(width)]
+    near = [written(near_links(t, radius, fs, wide_radius, "node"), "near") for t in turned]
+    loose = connected_components(functools.reduce(DataFrame.unionByName, near)).withColumnRenamed("root", "loose")
     candidates = written(nodes.join(loose, "node").select(F.col("first.row_key").alias("text_key"), "node", "loose"), "candidates")
     roots = written(_exact_roots(docs, candidates, words), "roots")
     joined = nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
