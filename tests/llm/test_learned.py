@@ -336,6 +336,15 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(given.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("filler", [20, 400])
+def test_spelled_insults_and_capitals_count_at_any_length(filler):
+    """A text whose only toxic content is spelled out, and one that shouts without a word of the lexicon."""
+    scan, plain = toxicity.Scanner({}), "quiet words " * filler
+    spelt, shouting = scan.features(plain + "i d i o t"), scan.features(plain + "LOUD WORDS")
+    assert spelt[8] == 1 and scan.features(plain)[8] == 0
+    assert shouting[9] == pytest.approx(200 / (2 * filler + 2)) and scan.features(plain)[9] == 0
+
+
 def test_calibration_rises():
     points, values = toxicity.isotonic(np.array([0.0, 1.0, 2.0, 3.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(points) > 0).all() and (np.diff(values) >= 0).all()

@@ -136,12 +136,12 @@ class Scanner:
         for i in hits:
             near += any(m[3] for m in marks[max(0, i - 4) : i + 5])
         spelt = 0
-        for run in SPELT.findall(text) if hits or n < 50 else ():
+        for run in SPELT.findall(text):
             joined = "".join(c for c in run.lower() if c.isalpha())
             spelt += joined in INSULTS or any(s in self.lexicon for s in stems(joined))
         size = max(len(text), 1)
         shout = text.count("!")
-        letters = sum(map(str.isupper, words)) if hits else 0
+        letters = sum(map(str.isupper, words))
         per = 100.0 / max(n, 1)
         return [
             weight, weight * per, float(len(hits)), len(hits) * per, float(stated), stated * per, near * per, disguised * per, float(spelt),
