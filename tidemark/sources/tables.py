@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+FOLDER = "spark.checkpoint.dir"
+#: Folders within the shared one that tables go to at the moment, the innermost last.
+_RUNS: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all run in one process (local, local[..])."""
+    named = spark.conf.get(FOLDER, None)
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{FOLDER} must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set(FOLDER, named)
+    return named.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the folder of spark.checkpoint.dir: computed once, and there when an executor is lost."""
+    """The same rows from a table in the shared folder: computed once, cuts the lineage, and there when an executor is lost."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(spark), *_RUNS[-1:], f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table made by stored() that nothing will read again."""
+    for file in df.inputFiles()[:1]:
+        removed(spark, file.rsplit("/", 1)[0])
+
+
+@contextlib.contextmanager
+def run_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within the block go to a folder of their own, which is deleted at its end.
+
+    DataFrames read such tables when they run, so results must be written or collected within the block.
+    """
+    _RUNS.append(f"run-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/{_RUNS[-1]}"
+    try:
+        yield
+    finally:
+        _RUNS.pop()
+        removed(spark, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: a small table of one file would keep the others idle.
 
