@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, kept_by_text, read_table, slices, small_batches, uniform
 
-#: Labelled documents that the classifier is fitted on, as an expected number; the bound on what comes to the driver.
-SAMPLE_DOCS = 4000
-#: Distinct n-grams of a sampled document that training keeps, the most frequent ones.
-KEPT_GRAMS = 2000
+#: Labelled documents that the classifier is fitted on, as an expected number shared out among the languages evenly, and
+#: those of a language at least; a language with fewer gives all it has. This bounds what comes to the driver.
+SAMPLE_DOCS, LEAST_DOCS = 4000, 100
 FEATURES = 1 << 18
 #: FTRL-proximal step size and smoothing, penalties on absolute values and squares, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-4, 1e-4, 3
@@ -30,31 +29,40 @@ UNDETERMINED = "und"
 BLOCK = 400_000
 
 
-def _letter_codes() -> np.ndarray:
-    """A code of 1 to 255 for the lower case of every letter of the basic plane; 0 for all else, which parts words."""
-    codes = np.zeros(0x10000, np.uint32)
+def _is_letter(c: str) -> bool:
+    return unicodedata.category(c)[0] == "L"
+
+
+def _letter_codes() -> tuple[np.ndarray, np.ndarray]:
+    """A code of 1 to 255 for the lower case of every letter and combining mark of the basic plane, 0 for all else, which
+    parts words; and which characters are letters."""
+    codes, letters = np.zeros(0x10000, np.uint32), np.zeros(0x10000, bool)
     for c in range(0x10000):
-        if unicodedata.category(chr(c))[0] == "L":
+        letters[c] = _is_letter(chr(c))
+        if letters[c] or unicodedata.category(chr(c))[0] == "M":
             low = chr(c).lower()[0]
             codes[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 7) % 229
-    return codes
+    return codes, letters
 
 
 _CODES: list = []
 
 
 def codes_of(text: str) -> np.ndarray:
-    """Codes of a text's characters with runs of non-letters as one 0, and a 0 at either end; empty without letters."""
+    """Codes of a text's characters with runs of other characters as one 0, and a 0 at either end; empty without letters."""
     if not _CODES:
-        _CODES.append(_letter_codes())
+        _CODES.extend(_letter_codes())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _CODES[0][np.minimum(points, 0xFFFF)]
+    low = np.minimum(points, 0xFFFF)
+    codes, lettered = _CODES[0][low], bool(_CODES[1][low].any())
     beyond = points >= 0x10000
     if beyond.any():
-        codes[beyond] = [28 + p % 227 if unicodedata.category(chr(p))[0] == "L" else 0 for p in points[beyond].tolist()]
-    codes = codes[(codes > 0) | (np.concatenate([[1], codes[:-1]]) > 0)]
-    if not codes.any():
+        kinds = [unicodedata.category(chr(p))[0] for p in points[beyond].tolist()]
+        codes[beyond] = [28 + p % 227 if k in "LM" else 0 for p, k in zip(points[beyond].tolist(), kinds, strict=True)]
+        lettered |= "L" in kinds
+    if not lettered:
         return np.empty(0, np.uint32)
+    codes = codes[(codes > 0) | (np.concatenate([[1], codes[:-1]]) > 0)]
     return np.concatenate([np.zeros(1, np.uint32), codes, np.zeros(1 if codes[-1] else 0, np.uint32)]).astype(np.uint32)
 
 
@@ -67,27 +75,31 @@ def grams_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their shares among all n-grams of the text; the KEPT_GRAMS most frequent."""
+    """All features of the text and their shares among its n-grams."""
     codes = codes_of(text)
     if not len(codes):
         return np.empty(0, np.int64), np.empty(0)
     ids, n = np.unique(np.concatenate(grams_of(codes)), return_counts=True)
-    share = n / n.sum()
-    if len(ids) > KEPT_GRAMS:
-        top = np.sort(np.argpartition(-n, KEPT_GRAMS)[:KEPT_GRAMS])
-        ids, share = ids[top], share[top]
-    return ids.astype(np.int64), share
+    return ids.astype(np.int64), n / n.sum()
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights: features x languages, inverse document frequencies and scale included."""
+    """weights: a row of zeros, then one for each of features, which the penalties have left a weight of any language, in
+    languages' order, inverse document frequencies and scale included."""
 
     languages: list[str]
+    features: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
+    def rows(self) -> np.ndarray:
+        """For every feature its row in weights."""
+        at = np.zeros(FEATURES, np.int32)
+        at[self.features] = np.arange(1, len(self.features) + 1)
+        return at
+
     def logits(self, sums: np.ndarray) -> np.ndarray:
         return (sums + self.bias) / self.temperature
 
@@ -101,19 +113,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 SCALE = 100.0
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Fit to (language, features, shares); a fifth of the rows, dealt by position, sets the temperature."""
-    languages = sorted({r[0] for r in rows})
-    if not languages:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
-    k = len(languages)
-    held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    fit = [r for i, r in enumerate(rows) if i % 5 != 4]
-    df = np.zeros(FEATURES)
-    for _, ids, _ in fit:
-        df[ids] += 1
-    idf = np.log((1 + len(fit)) / (1 + df)) + 1.0
-    z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))  # the last row is the bias
+def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_features: int, n_classes: int, passes: int = PASSES) -> np.ndarray:
+    """Weights after passes over rows (class, features, values) in a fixed random order; a row a feature, the last the bias."""
+    z, n = np.zeros((n_features + 1, n_classes)), np.zeros((n_features + 1, n_classes))
 
     def weights(at: np.ndarray) -> np.ndarray:
         zi = z[at]
@@ -121,39 +123,57 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
     order = np.random.default_rng(11)
-    for _ in range(PASSES):
-        for i in order.permutation(len(fit)):
-            language, ids, share = fit[i]
-            at = np.append(ids, FEATURES)
-            x = np.append(share * idf[ids] * SCALE, 1.0)
+    for _ in range(passes):
+        for i in order.permutation(len(rows)):
+            truth, ids, values = rows[i]
+            at, x = np.append(ids, n_features), np.append(values, 1.0)
             w = weights(at)
             p = _softmax(x @ w)
-            p[languages.index(language)] -= 1.0
+            p[truth] -= 1.0
             g = x[:, None] * p[None, :]
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    full = weights(np.arange(FEATURES + 1))
-    weighted = full[:-1] * (idf * SCALE)[:, None]
-    bias = full[-1]
-    temperature = 1.0
-    if held:
-        logits = np.array([(weighted[ids] * share[:, None]).sum(axis=0) + bias for _, ids, share in held])
-        truth = np.array([languages.index(r[0]) if r[0] in languages else 0 for r in held])
-        choices = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-        # smoothed by one document's worth of doubt, so a part without errors doesn't make scores certain
-        doubt = 1 / (len(truth) + 2)
-        logs = [np.log(np.maximum(_softmax(logits / t), 1e-12)) for t in choices]
-        loss = [-(1 - doubt) * x[np.arange(len(truth)), truth].mean() - doubt * x.mean() for x in logs]
-        temperature = float(choices[int(np.argmin(loss))])
-    return Model(languages, weighted.astype(np.float32), bias, temperature)
+    return weights(np.arange(n_features + 1))
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """Fit to (language, features, shares); a fifth of the rows, dealt by position, sets the temperature."""
+    languages = sorted({r[0] for r in rows})
+    if not languages:
+        return Model([], np.empty(0, np.int64), np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
+    held = [r for i, r in enumerate(rows) if i % 5 == 4]
+    fit = [r for i, r in enumerate(rows) if i % 5 != 4]
+    seen = np.unique(np.concatenate([r[1] for r in fit]))  # state is kept for these alone
+    df = np.zeros(len(seen))
+    places = [np.searchsorted(seen, ids) for _, ids, _ in fit]
+    for at in places:
+        df[at] += 1
+    scale = (np.log((1 + len(fit)) / (1 + df)) + 1.0) * SCALE
+    full = ftrl([(languages.index(r[0]), at, r[2] * scale[at]) for r, at in zip(fit, places, strict=True)], len(seen), len(languages))
+    weighted, bias = full[:-1] * scale[:, None], full[-1]
+    used = np.flatnonzero(weighted.any(axis=1))
+    model = Model(languages, seen[used], np.concatenate([np.zeros((1, len(languages))), weighted[used]]).astype(np.float32), bias, 1.0)
+    if not held:
+        return model
+    at = model.rows()
+    logits = np.array([(model.weights[at[ids]].astype(np.float64) * share[:, None]).sum(axis=0) + bias for _, ids, share in held])
+    truth = np.array([languages.index(r[0]) for r in held])
+    choices = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+    # smoothed by one document's worth of doubt, so a part without errors doesn't make scores certain
+    doubt = 1 / (len(truth) + 2)
+    logs = [np.log(np.maximum(_softmax(logits / t), 1e-12)) for t in choices]
+    loss = [-(1 - doubt) * x[np.arange(len(truth)), truth].mean() - doubt * x.mean() for x in logs]
+    return replace(model, temperature=float(choices[int(np.argmin(loss))]))
 
 
 def sample_grams(docs: DataFrame, held_out, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, features, shares) of labelled documents out of the held-out part, about sample_docs of them, by doc_id."""
+    """(language, features, shares) of labelled documents out of the held-out part, drawn by doc_id, each language's share alike."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    n = labelled.count()
-    drawn = labelled.where(uniform(F.col("doc_id"), "lang:") < min(1.0, sample_docs / max(n, 1))).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    wanted = max(LEAST_DOCS, sample_docs // max(len(sizes), 1))
+    shares = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, wanted / n))) for lang, n in sizes.items()], F.lit(0.0))
+    drawn = labelled.where(uniform(F.col("doc_id"), "lang:") < shares).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -168,7 +188,7 @@ def sample_grams(docs: DataFrame, held_out, sample_docs: int = SAMPLE_DOCS) -> l
 
 def score_texts(texts: list, model: Model) -> tuple[list[str], list[float]]:
     """Language and calibrated probability of each text; und and 0 for a null text or one without letters."""
-    k = len(model.languages)
+    k, rows = len(model.languages), model.rows()
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if not k:
         return names, scores
@@ -185,8 +205,9 @@ def score_texts(texts: list, model: Model) -> tuple[list[str], list[float]]:
         one, two, three = grams_of(codes)
         # n-grams that begin in one text and end in the next are taken off again
         for feature, width in ((one, 1), (two, 2), (three, 3)):
+            at_row = rows[feature]
             for j in range(k):
-                w = model.weights[:, j][feature]
+                w = model.weights[:, j][at_row]
                 for cut in range(1, width):
                     at = ends[:-1] - cut
                     w[at[(at >= 0) & (at < len(w))]] = 0.0
@@ -218,7 +239,7 @@ def fit_language_model(docs: DataFrame, held_out=None) -> Model:
 def predict_language(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep with lang_pred and score appended, for every row and whole texts."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES x languages x 4 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # rows with a weight, at most FEATURES of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -248,7 +269,11 @@ LEAST_PROBABLE = 0.4
 
 
 def in_a_language(docs: DataFrame, model: Model, least: float = LEAST_PROBABLE) -> DataFrame:
-    """The documents that are in one of the model's languages, with their columns; a null text isn't."""
+    """The documents that are in one of the model's languages, with their columns.
+
+    A null text, or one without letters, is in none. Rows are judged one by one, so repeated ones stay or go together and
+    order doesn't matter; an empty table gives an empty table, as does a model without languages.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keeps(texts: list) -> list[bool]:

@@ -6,19 +6,18 @@ and obfuscation rates. Trees, calibration and the learned lexicon come from a bo
 
 from __future__ import annotations
 
-import functools
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, kept_by_text, read_table, slices, small_batches, uniform
+from .common import fold, kept_by_text, read_table, slices, small_batches, uniform, written
 from .pretokens import Remembering
 
 #: Labelled documents that lexicon, trees and calibration are fitted on, as an expected number.
@@ -38,7 +37,6 @@ CACHE_WORDS = 60_000
 STRIP = ".,;:!?\"'()[]{}|<>*#%$&@~_-+=/\\^`" + "“”‘’«»…¡¿–—"
 #: Characters that stand for letters within disguised words.
 LEET = str.maketrans("013457@$", "oieastas")
-INNER = re.compile(r"[^\W\d_]+[\d@$*.\-_!]+[^\W\d_]")
 SPELT = re.compile(r"(?:(?<=\s)|^)(?:[^\W\d_][ .\-*_]){3,}[^\W\d_](?=\s|$)")
 
 
@@ -56,50 +54,67 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in STEMS if len(word) >= n)]
 
 
-@dataclass(frozen=True)
-class Seen:
-    """In how many toxic and other documents words and stems (marked by a hyphen) occur, of those that enough toxic ones have."""
+def _keys_of(text: str) -> set[str]:
+    return {s for w in set(words_of(text)) if w for s in stems(w)}
 
-    documents: tuple[int, int]
-    toxic: Counter
-    other: Counter
 
-    def __sub__(self, part: "Seen") -> "Seen":
-        return Seen(tuple(a - b for a, b in zip(self.documents, part.documents, strict=True)), self.toxic - part.toxic, self.other - part.other)
+#: Parts that the sample is dealt to; entries of a task's counts that are sent on at once.
+FOLDS, COUNTED = 5, 200_000
 
-    def __add__(self, part: "Seen") -> "Seen":
-        return Seen(tuple(a + b for a, b in zip(self.documents, part.documents, strict=True)), self.toxic + part.toxic, self.other + part.other)
 
+def key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, toxic, text) to (key, part, toxic, n): of so many documents a word or a stem (marked by a hyphen) is one."""
 
-def _keys_of(text: str) -> set[str]:
-    return {s for w in set(words_of(text)) if w for s in stems(w)}
+    def rows() -> pa.RecordBatch:
+        keys, n = list(counts), list(counts.values())
+        counts.clear()
+        return pa.RecordBatch.from_pydict({"key": pa.array([k[0] for k in keys], pa.string()), "part": pa.array([k[1] for k in keys], pa.int32()), "toxic": pa.array([k[2] for k in keys], pa.int32()), "n": pa.array(n, pa.int64())})
 
+    counts: Counter = Counter()
+    for batch in slices(batches):
+        for part, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts.update((k, part, toxic) for k in _keys_of(text))
+            if len(counts) > COUNTED:
+                yield rows()
+    yield rows()
 
-def frequent_keys(documents: list[tuple[int, str]]) -> set[str]:
-    """What LEAST_DOCS toxic documents have; counting nothing else keeps the counts small."""
-    hits: Counter = Counter()
-    for toxic, text in documents:
-        if toxic:
-            hits.update(_keys_of(text))
-    return {k for k, n in hits.items() if n >= LEAST_DOCS}
 
+def learn_lexicon(seen: list[tuple[str, int, int]], documents: tuple[int, int]) -> dict[str, float]:
+    """Log ratios of words and stems that toxic documents have far oftener than others; the LEXICON strongest.
+
+    seen: key, toxic and other documents that have it; documents: toxic and other ones in all.
+    """
+    found = {}
+    for key, toxic, other in seen:
+        ratio = (toxic / max(documents[0], 1)) / ((other + 0.5) / max(documents[1], 1))
+        if toxic >= LEAST_DOCS and ratio >= LEAST_RATIO:
+            found[key] = (float(np.log(ratio)) * min(1.0, toxic / 10), toxic)
+    best = sorted(found.items(), key=lambda x: (-x[1][0] * x[1][1], x[0]))[:LEXICON]
+    return {k: weight for k, (weight, _) in best}
 
-def seen_in(documents: list[tuple[int, str]], keys: set[str]) -> Seen:
-    counts, n = (Counter(), Counter()), [0, 0]
-    for toxic, text in documents:
-        n[toxic] += 1
-        counts[toxic].update(_keys_of(text) & keys)
-    return Seen((n[0], n[1]), counts[1], counts[0])
 
+def lexicons(sample: DataFrame, sizes: np.ndarray) -> list[dict[str, float]]:
+    """A lexicon of all parts but one for each part, then one of all. sizes: documents by part, toxic first, then others.
 
-def learn_lexicon(seen: Seen) -> dict[str, float]:
-    """Log ratios of words and stems that toxic documents have far oftener than others; the LEXICON strongest."""
-    out = {}
-    for key, hits in seen.toxic.items():
-        ratio = (hits / max(seen.documents[1], 1)) / ((seen.other[key] + 0.5) / max(seen.documents[0], 1))
-        if hits >= LEAST_DOCS and ratio >= LEAST_RATIO:
-            out[key] = float(np.log(ratio)) * min(1.0, hits / 10)
-    return dict(sorted(out.items(), key=lambda x: (-x[1] * seen.toxic[x[0]], x[0]))[:LEXICON])
+    Words are counted on the workers; what comes to the driver passes for at least one of the lexicons.
+    """
+    counts = sample.mapInArrow(key_counts, "key string, part int, toxic int, n long")
+    cells = [F.sum(F.when((F.col("part") == p) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{p}_{t}") for p in range(FOLDS) for t in (1, 0)]
+    counts = counts.groupBy("key").agg(*cells)
+    passes = F.lit(False)
+    for left_out in [*range(FOLDS), None]:
+        parts = [p for p in range(FOLDS) if p != left_out]
+        toxic, other = (sum((F.col(f"n{p}_{t}") for p in parts), F.lit(0)) for t in (1, 0))
+        n = sizes[parts].sum(axis=0)
+        passes = passes | ((toxic >= LEAST_DOCS) & (toxic / F.lit(float(max(n[0], 1))) >= LEAST_RATIO * 0.999 * (other + 0.5) / F.lit(float(max(n[1], 1)))))
+    found = counts.where(passes).toPandas()
+    cells = found[[f"n{p}_{t}" for p in range(FOLDS) for t in (1, 0)]].to_numpy().reshape(-1, FOLDS, 2)
+    out = []
+    for left_out in [*range(FOLDS), None]:
+        parts = [p for p in range(FOLDS) if p != left_out]
+        n = cells[:, parts].sum(axis=1)
+        out.append(learn_lexicon(list(zip(found["key"], n[:, 0].tolist(), n[:, 1].tolist(), strict=True)), tuple(sizes[parts].sum(axis=0).tolist())))
+    return out
 
 
 N_FEATURES = 15
@@ -174,6 +189,17 @@ class Trees:
         return out
 
 
+def split_gains(binned: np.ndarray, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """For every feature and cut the gain of sending bins up to the cut to one side; 0 where a side has too few rows."""
+    n, k = binned.shape
+    at = (binned + np.arange(k) * width).ravel()
+    gs, hs, ns = (np.cumsum(np.bincount(at, weights=np.repeat(v, k), minlength=k * width).reshape(k, width), axis=1) for v in (g, h, np.ones(n)))
+    left, right = [v[:, :-1] for v in (gs, hs, ns)], [v[:, -1:] - v[:, :-1] for v in (gs, hs, ns)]
+    gain = left[0] ** 2 / (left[1] + 1) + right[0] ** 2 / (right[1] + 1) - gs[:, -1:] ** 2 / (hs[:, -1:] + 1)
+    gain[(left[2] < LEAST_LEAF) | (right[2] < LEAST_LEAF)] = 0
+    return gain
+
+
 def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     """Trees of second-order gradient boosting for logistic loss, on histograms of binned features."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
@@ -194,15 +220,10 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
             for node in range((1 << level) - 1, (1 << level + 1) - 1):
                 mine = np.flatnonzero(at == node)
                 if len(mine) >= 2 * LEAST_LEAF:
-                    best = 1e-6
-                    for j in range(x.shape[1]):
-                        b = binned[mine, j]
-                        gs, hs, ns = (np.cumsum(np.bincount(b, weights=v, minlength=width)) for v in (g[mine], h[mine], np.ones(len(mine))))
-                        gain = gs[:-1] ** 2 / (hs[:-1] + 1) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                        gain[(ns[:-1] < LEAST_LEAF) | (ns[-1] - ns[:-1] < LEAST_LEAF)] = 0
-                        k = int(np.argmax(gain))
-                        if gain[k] > best:
-                            best, f[node], c[node] = gain[k], j, k
+                    gain = split_gains(binned[mine], g[mine], h[mine], width)
+                    j, k = np.unravel_index(int(np.argmax(gain)), gain.shape)
+                    if gain[j, k] > 1e-6:
+                        f[node], c[node] = j, k
                 at[mine] = 2 * node + 1 + (binned[mine, f[node]] > c[node])
         gs, hs = (np.bincount(at - inner, weights=v, minlength=leaves) for v in (g, h))
         leaf = -STEP * gs / (hs + 1)
@@ -243,44 +264,58 @@ class Model:
         return np.clip(np.interp(self.trees.margin(x), self.points, self.values), 0.0, 1.0)
 
 
-FOLDS = 5
+def fold_features(sample: DataFrame, lexicons: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, features and label of the sample's rows, the features of a part by the lexicon of the others; made on the workers."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scans: dict[int, Scanner] = {}
+        for batch in slices(batches):
+            parts, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            x = [scans.setdefault(p, Scanner(shared.value[p])).features(t) for p, t in zip(parts, texts, strict=True)]
+            yield pa.RecordBatch.from_pydict({"part": batch.column(0), "toxic": batch.column(1), "x": pa.array(x, pa.list_(pa.float64()))})
+
+    rows: pd.DataFrame = sample.mapInArrow(run, "part int, toxic int, x array<double>").toPandas()
+    x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
+    order = np.lexsort([*x.T, rows["toxic"], rows["part"]])  # reruns add up in the same order
+    return rows["part"].to_numpy()[order], x[order], rows["toxic"].to_numpy(float)[order]
 
 
-def fit(rows: list[tuple[int, str]]) -> Model:
-    """Lexicon, trees and calibration from labelled rows, dealt into folds by position.
+def fit(sample: DataFrame) -> Model:
+    """Lexicon, trees and calibration from labelled_texts.
 
-    The features of a fold come from a lexicon of the other folds, so densities mean the same to the trees as on new
-    documents; the margins for calibration come from trees of the other folds.
+    The features of a part come from a lexicon of the other parts, so densities mean the same to the trees as on new
+    documents; the margins for calibration come from trees of the other parts. Only counts that pass and features, N_FEATURES
+    numbers a row, come to the driver.
     """
-    rows = rows or [(0, "")]
-    parts = [rows[k::FOLDS] for k in range(FOLDS)]
-    keys = frequent_keys(rows)
-    each = [seen_in(p, keys) for p in parts]
-    every = functools.reduce(operator.add, each)
-    x, y = [], []
-    for part, seen in zip(parts, each, strict=True):
-        scan = Scanner(learn_lexicon(every - seen))
-        x.append(np.array([scan.features(t) for _, t in part]).reshape(len(part), N_FEATURES))
-        y.append(np.array([float(t) for t, _ in part]))
-    fold = np.concatenate([np.full(len(v), k) for k, v in enumerate(y)])
-    x, y = np.concatenate(x), np.concatenate(y)
+    small_batches(sample.sparkSession)
+    sizes = np.zeros((FOLDS, 2), int)
+    for r in sample.groupBy("part", "toxic").count().collect():
+        sizes[r["part"], 1 - r["toxic"]] = r["count"]
+    found = lexicons(sample, sizes)
+    part, x, y = fold_features(sample, found)
+    if not len(y):
+        part, x, y = np.zeros(1, int), np.zeros((1, N_FEATURES)), np.zeros(1)
     margin = np.zeros(len(y))
     for k in range(FOLDS):
-        inside = fold == k
+        inside = part == k
         if inside.any():
             margin[inside] = (boost(x[~inside], y[~inside]) if (~inside).any() else boost(x, y)).margin(x[inside])
-    return Model(learn_lexicon(every), boost(x, y), *isotonic(margin, y))
+    return Model(found[-1], boost(x, y), *isotonic(margin, y))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[int, str]]:
-    """(toxic, text) of about sample_docs labelled documents, drawn by doc_id; labels of null are left out."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(part, toxic, text) of about sample_docs labelled documents, drawn and dealt by doc_id; labels of null are left out.
+
+    Of several labels of an id the greatest holds. A written table.
+    """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = told.count()
     told = told.where(uniform(F.col("doc_id"), "toxic:") < min(1.0, sample_docs / max(n, 1)))
     joined = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")  # sample_docs rows or so
-    found = joined.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).toPandas()
-    found = found.sort_values(["doc_id", "toxic", "text"], kind="stable")
-    return [(min(1, max(0, int(y))), t) for y, t in zip(found["toxic"], found["text"], strict=True)]
+    part = F.least(F.floor(uniform(F.col("doc_id"), "toxic-part:") * FOLDS), F.lit(FOLDS - 1)).cast("int")
+    toxic = F.greatest(F.lit(0), F.least(F.lit(1), F.col("toxic").cast("int")))
+    return written(joined.select(part.alias("part"), toxic.alias("toxic"), F.coalesce("text", F.lit("")).alias("text")), "toxicity-sample")
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -317,7 +352,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def not_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The documents that score below the limit, with their columns."""
+    """The documents that score below the limit, with their columns.
+
+    A null text is scored as the empty one. Rows are judged one by one, so repeated ones stay or go together; an empty table
+    gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scanners: list[Scanner] = []
 
