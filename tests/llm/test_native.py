@@ -64,6 +64,25 @@ def test_rules_that_end_within_a_part_and_ties(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows} == {1: ("a.b/pre", "block"), 2: ("b/pref.", "allow"), 3: (None, "allow")} or {r["page_id"]: r["verdict"] for r in rows} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_digest_tells_equal_short_hashes_apart(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SHORT_BITS", 1)
+    for broadcast in (500_000, 0):
+        rows = urls.judge_urls(spark.createDataFrame(URLS, "page_id bigint, url string"), urls.rule_table(spark), broadcast_rules=broadcast).collect()
+        assert Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in rows) == Counter((i, *judged(u)) for i, u in URLS)
+
+
+def test_urls_meet_rules_by_short_hash_alone(spark):
+    plan = urls.judge_urls(spark.createDataFrame(URLS, "page_id bigint, url string"), urls.rule_table(spark))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"BroadcastHashJoin \[(.*?)\], \[(.*?)\]", plan)
+    assert len(keys) == 1 and re.fullmatch(r"short#\d+L", keys[0][0]) and re.fullmatch(r"r_short#\d+L", keys[0][1])
+
+
+def test_hosts_of_many_labels_and_letters_beyond_ascii(spark):
+    rules = spark.createDataFrame([("Ä.DE", "/", "block"), ("", "/", "block")], "rule_host string, rule_path string, rule_verdict string")
+    given = spark.createDataFrame([(1, "http://Ä.dE/x"), (2, "http://ä.de/x"), (3, "http://" + "a." * 5000 + "Ä.de/"), (4, None)], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(given, rules).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
 # mixing
 
 
@@ -144,13 +163,29 @@ def test_quality_counts(spark):
 
 def test_cascade_order_and_filter(spark):
     rows = docs(spark, [(i, "plain words " + " ".join(f"w{j}x{i}" for j in range(25)) if i % 2 else "few", None) for i in range(50)])
-    rules = quality.order_rules(rows, [quality.Rule("never", F.lit(False)), quality.Rule("half", F.length("text") < 10)])
+    rules = quality.order_rules(quality.measured(rows, ["doc_id"]), [quality.Rule("never", F.lit(False)), quality.Rule("half", F.length("_t") < 10)])
     assert [r.name for r in rules] == ["half", "never"]
     kept = quality.quality_filter(rows)
     assert kept.columns == rows.columns and {r["doc_id"] % 2 for r in kept.collect()} == {1}
     assert quality.quality_report(docs(spark, [])).count() == 0
 
 
+def test_later_rules_see_only_what_earlier_ones_leave(spark):
+    """A rule that raises an error for rows of the base, or of an earlier rule, if it is evaluated for them."""
+    plain = " ".join(f"w{j}" for j in range(30))
+    rows = docs(spark, [(1, "few", None), (2, "first " + plain, None), (3, plain, None), (4, "last " + plain, None)])
+    fails = lambda column, word: F.when(F.col(column).startswith(word), F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)).cast("boolean")
+    first, last = quality.Rule("first", fails("_t", "few") | F.col("_t").startswith("first")), quality.Rule("last", fails("_t", "first") | F.col("_t").startswith("last"))
+    verdict = F.when(quality.first_rejection(quality.base_rules()).isNotNull(), F.lit("base")).otherwise(quality.first_rejection([first, last]))
+    found = quality.measured(rows, ["doc_id"]).select("doc_id", verdict.alias("v")).collect()
+    assert {r["doc_id"]: r["v"] for r in found} == {1: "base", 2: "first", 3: None, 4: "last"}
+
+
+@pytest.mark.parametrize(("text", "rule"), [("one two " * 15 + " ".join(f"w{j}" for j in range(40)), "base"), (" ".join(["ab cd", *(f"x{j} ab cd" for j in range(20))]), "common_pair"), (" ".join("12 345 6 78".split() * 1 + [str(j * 7919) for j in range(40)]), "few_letters"), ("\n".join(f"line {j} goes on here ..." for j in range(20)), "broken_lines"), (" ".join(f"w{j}" for j in range(40)) + "#" * 15, "symbols")])
+def test_rules_of_the_cascade(spark, text, rule):
+    assert quality.quality_report(docs(spark, [(1, text, None)])).first()["rejected_by"] == rule
+
+
 # fingerprints
 
 
