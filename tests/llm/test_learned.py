@@ -1,8 +1,10 @@
 """Tokens, packing, near-duplicates, languages, toxicity and the pipeline, against libraries, brute force and held-out rows."""
 
+import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +20,7 @@ from tidemark.llm.common import written
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [
     None, "", " \t\n ", "plain text", "It's we'll THEY'VE  two  spaces \n\n lines\t", "naïve Straße ÇA İstanbul ΣΑΣ", "漢字かな交じり文 and 한국어", "emoji 👩‍👩‍👧 ok 🎉🎉", "<|endoftext|> in <|startoftext|>text<|endoftext|>", "<|ENDOFTEXT|> <|",
-    "１２３ ½ ² x²", "a\u00a0b\u2003c\u3000d\u0085e", "e\u0301 combining", "tab\x0bvt\x0cff\x1cfs\x00nul", "don''t 's 'S '", "x" * 5000, "word " * 3000, "\u2028line\u2029par", "ﬁ ligature Ǆ", "'ll've", "ſ K Å", "a\r\nb", "مرحبا بالعالم", "0123456789 99",
+    "１２３ ½ ² x²", "a\u00a0b\u2003c\u3000d\u0085e", "e\u0301 combining", "tab\x0bvt\x0cff\x1cfs\x00nul", "don''t 's 'S '", "x" * 5000, "word " * 3000, "\u2028line\u2029par", "ﬁ ligature Ǆ", "'ll've", "ſ K Å", "a\r\nb", "مرحبا بالعالم", "0123456789 99", "ab\x01cdefgh\x1fij",
 ]
 
 
@@ -40,6 +42,26 @@ def test_token_counts(spark):
     assert tokens.count_tokens(docs(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "other"])
+def test_any_tokenizer_file_and_long_runs(spark, tmp_path, name):
+    """Both kinds that are cut here, one that isn't, and a megabyte of characters without a space, of which no cache keeps a thing."""
+    path = public_tokenizers.path(name if name != "other" else "byte_bpe_50k.json")
+    if name == "other":
+        told = json.loads(Path(path).read_text())
+        told["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, told["pre_tokenizer"]]}
+        path = str(tmp_path / "other.json")
+        Path(path).write_text(json.dumps(told))
+    texts = ODD + ["漢字仮名" * 80_000, "12345 year 2024"]
+    library = [Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids for x in texts]
+    found = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs(spark, texts), path).collect()}
+    assert [found[i] for i in range(len(texts))] == [len(x) for x in library]
+    encoded = packing.Encoder(path)
+    for text, ids in zip(texts, library, strict=True):
+        assert encoded(text or "") == np.array(ids, "<u4").tobytes()
+    cache = encoded.ids.__self__
+    assert all(len(k) <= pretokens.CACHED_CHARS for k in cache)
+
+
 def test_caches_may_be_emptied(monkeypatch):
     monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 2)
     n = pretokens.lengths(public_tokenizers.path("word_bpe_49k.json"), {"the": 1})
@@ -345,6 +367,75 @@ def test_spelled_insults_and_capitals_count_at_any_length(filler):
     assert shouting[9] == pytest.approx(200 / (2 * filler + 2)) and scan.features(plain)[9] == 0
 
 
+def test_counts_and_splits_against_brute_force(spark):
+    """Words by part and label against counting by hand; the best split of a node against trying all."""
+    given, labels = toxic_corpus(spark, 300)
+    sample = toxicity.labelled_texts(given, labels)
+    rows = [tuple(r) for r in sample.collect()]
+    sizes = np.zeros((toxicity.FOLDS, 2), int)
+    for p, t, _ in rows:
+        sizes[p, 1 - t] += 1
+    wanted = []
+    for left_out in [*range(toxicity.FOLDS), None]:
+        seen = {}
+        for p, t, text in rows:
+            if p != left_out:
+                for k in toxicity._keys_of(text):
+                    seen.setdefault(k, [0, 0])[1 - t] += 1
+        n = sizes[[p for p in range(toxicity.FOLDS) if p != left_out]].sum(axis=0)
+        wanted.append(toxicity.learn_lexicon([(k, *v) for k, v in seen.items()], (int(n[0]), int(n[1]))))
+    found = toxicity.lexicons(sample, sizes)
+    assert found == wanted and len(found[-1]) > 3
+    part, x, y = toxicity.fold_features(sample, found)
+    by_hand = sorted((p, float(t), *toxicity.Scanner(found[p]).features(text)) for p, t, text in rows)
+    assert np.allclose(sorted((p, t, *v) for p, t, v in zip(part.tolist(), y.tolist(), x.tolist(), strict=True)), by_hand)
+    r = np.random.default_rng(3)
+    binned, g, h = r.integers(0, 6, (60, 4)), r.normal(size=60), r.uniform(0.1, 1, 60)
+    gain = toxicity.split_gains(binned, g, h, 6)
+    for j in range(4):
+        for k in range(5):
+            left = binned[:, j] <= k
+            few = min(left.sum(), (~left).sum()) < toxicity.LEAST_LEAF
+            hand = 0 if few else g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+            assert abs(gain[j, k] - hand) < 1e-9
+
+
+def test_ftrl_against_one_number_at_a_time():
+    rows = [(0, np.array([0, 2]), np.array([1.0, 0.5])), (1, np.array([1, 2]), np.array([2.0, 0.25])), (1, np.array([1]), np.array([1.0]))] * 3
+    z, n = [[0.0, 0.0] for _ in range(4)], [[0.0, 0.0] for _ in range(4)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= langid.L1:
+            return 0.0
+        return -(z[i][k] - np.sign(z[i][k]) * langid.L1) / ((langid.BETA + n[i][k] ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for at in order.permutation(len(rows)):
+            truth, ids, values = rows[at]
+            x = [*zip(ids.tolist(), values.tolist(), strict=True), (3, 1.0)]
+            score = [np.exp(sum(weight(i, k) * v for i, v in x)) for k in range(2)]
+            step = []
+            for i, v in x:
+                for k in range(2):
+                    g = v * (score[k] / sum(score) - (k == truth))
+                    step.append((i, k, g, ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / langid.ALPHA * weight(i, k)))
+            for i, k, g, pull in step:
+                z[i][k] += g - pull
+                n[i][k] += g * g
+    assert np.allclose(langid.ftrl(rows, 3, 2, passes=2), [[weight(i, k) for k in range(2)] for i in range(4)])
+
+
+def test_rare_languages_and_vowel_signs(spark):
+    """A language of one row in five hundred is learned; vowel signs don't part words."""
+    rows = [(i, "the thing and " * 20, "en") for i in range(3000)] + [(5000 + i, "eauque leau " * 20, "fr") for i in range(6)]
+    given = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOCS)
+    model = langid.fit_language_model(given)
+    assert model.languages == ["en", "fr"] and langid.score_texts(["eauque leau", "the thing"], model)[0] == ["fr", "en"]
+    word = langid.codes_of("\u0915\u093f\u0924\u093e\u092c").tolist()
+    assert len(word) == 7 and all(word[1:-1]) and not len(langid.codes_of("\u093f"))
+
+
 def test_calibration_rises():
     points, values = toxicity.isotonic(np.array([0.0, 1.0, 2.0, 3.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(points) > 0).all() and (np.diff(values) >= 0).all()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, slices, small_batches, written
-from .pretokens import byte_pretokens, id_bytes, kept, special_strings
+from .pretokens import Cutter, id_bytes, kept
 
 CAPACITY = 2048
 END = b"\0\0\0\0"  # the id that follows every document
@@ -27,14 +27,11 @@ class Encoder:
     """The library's ids of texts, without special tokens added, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.ids, (self.split, self.special) = id_bytes(path).__getitem__, special_strings(path)
+        self.ids, self.cutter = id_bytes(path).__getitem__, Cutter(path)
 
     def __call__(self, text: str) -> bytes:
-        ids = self.ids
-        if "<|" not in text:
-            return b"".join(map(ids, byte_pretokens(text)))
-        parts = self.split.split(text)
-        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else b"".join(map(ids, byte_pretokens(x))) for x in parts)
+        ids, cut, special = self.ids, self.cutter.pretokens, self.cutter.special
+        return b"".join(special[x].to_bytes(4, "little") if x in special else b"".join(map(ids, cut(x))) for x in self.cutter.parts(text))
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:

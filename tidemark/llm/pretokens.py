@@ -1,13 +1,16 @@
-"""Pre-tokens of two byte-pair tokenizers, cut by regular expressions, and worker caches of what each pre-token encodes to.
+"""Pre-tokens of two kinds of byte-pair tokenizers, cut by regular expressions, and worker caches of what each encodes to.
 
 A text of common characters is cut here; what holds any other character is given to the library, run by run, so that its
-own normalisation and Unicode tables decide. Either way the ids are the library's.
+own normalisation and Unicode tables decide. Texts for a tokenizer of another kind are given to it whole. Either way the
+ids are the library's.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 
@@ -15,8 +18,8 @@ import numpy as np
 SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Typographic signs that are neither letters, digits nor white space.
 SIGNS = "\u2013\u2014\u2018\u2019\u201c\u201d\u2022\u2026\u20ac"
-#: Entries of each of the two generations of a worker's cache, about 200 bytes each.
-CACHE_ENTRIES = 200_000
+#: Entries of each of the two generations of a worker's cache, and the longest key that it keeps; 200 bytes each or so.
+CACHE_ENTRIES, CACHED_CHARS = 200_000, 64
 
 
 def _common(kinds: str) -> str:
@@ -50,10 +53,41 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def special_strings(path: str):
-    """A pattern that splits a text at the strings of special tokens, and their ids."""
-    ids = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
-    return re.compile("(" + "|".join(re.escape(x) for x in sorted(ids, key=len, reverse=True)) + ")"), ids
+# Normaliser and pre-tokeniser of the two kinds of tokenizer files whose texts are cut here.
+KINDS = {
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+}
+
+
+def kind_of(path: str) -> str | None:
+    """The kind of a tokenizer file; None for any other normaliser, pre-tokeniser, model or special tokens with rules of their own."""
+    told = json.loads(Path(path).read_text(encoding="utf-8"))
+    plain = told["model"].get("type") == "BPE" and not told["model"].get("dropout") and not told.get("truncation")
+    plain = plain and not any(t.get(k) for t in told["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word"))
+    found = (told.get("normalizer"), told.get("pre_tokenizer"))
+    return next((k for k, v in KINDS.items() if plain and v == found), None)
+
+
+class Cutter:
+    """Cuts texts for a tokenizer file: at the strings of special tokens, then to pre-tokens; not at all for an unknown kind."""
+
+    def __init__(self, path: str):
+        self.kind = kind_of(path)
+        self.special = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()} if self.kind else {}
+        self.pretokens = {"word": word_pretokens, "byte": byte_pretokens, None: lambda text: [text]}[self.kind]
+        self._at = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self._marked = all(x.startswith("<|") for x in self.special)  # then a text without that needs no search
+
+    def parts(self, text: str) -> list[str]:
+        """The text cut at special strings, which are parts of their own."""
+        return [text] if self._at is None or (self._marked and "<|" not in text) else self._at.split(text)
 
 
 class Remembering(dict):
@@ -67,6 +101,8 @@ class Remembering(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > CACHED_CHARS:
+            return value
         if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
@@ -87,12 +123,12 @@ def kept(kind: str, path: str, make):
 
 def lengths(path: str, frequent: dict[str, int]) -> Remembering:
     """Pre-token (or run of characters) to its number of tokens: from the table of frequent ones, else encoded when first met."""
-    whole, model, letters = tokenizer(path).encode, tokenizer(path).model, _byte_letters()
+    whole, model, letters, known = tokenizer(path).encode, tokenizer(path).model, _byte_letters(), kind_of(path) is not None
 
     def length(key: str) -> int:
         if (n := frequent.get(key)) is not None:
             return n
-        if key.isascii() or OTHER.search(key) is None:  # cut here, so it is in lower case and needs no further cutting
+        if known and OTHER.search(key) is None:  # cut here, so it is in lower case and needs no further cutting
             return len(model.tokenize(key.translate(letters)))
         return len(whole(key, add_special_tokens=False).ids)
 
@@ -114,10 +150,10 @@ def id_bytes(path: str) -> Remembering:
 
     A pre-token of common characters goes to the library's model at once; its text needs no further cutting.
     """
-    whole, model, letters = tokenizer(path).encode, tokenizer(path).model, _byte_letters()
+    whole, model, letters, known = tokenizer(path).encode, tokenizer(path).model, _byte_letters(), kind_of(path) is not None
 
     def ids(key: str) -> bytes:
-        if key.isascii() or OTHER.search(key) is None:
+        if known and OTHER.search(key) is None:
             found = [t.id for t in model.tokenize(key.translate(letters))]
         else:
             found = whole(key, add_special_tokens=False).ids

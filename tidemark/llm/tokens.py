@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, slices, small_batches
-from .pretokens import kept, lengths, special_strings, tokenizer, word_pretokens
+from .pretokens import Cutter, kept, lengths, tokenizer
 
 #: Entries of the broadcast table; with its keys under 1 MB.
 FREQUENT = 8192
@@ -26,14 +26,18 @@ OVER = 2048
 
 def _summaries(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids = special_strings(path)
+        cutter = Cutter(path)
         counts: Counter = Counter()
-        for batch in slices(batches):
+        for batch in slices(batches) if cutter.kind else ():
+            found: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    for part in split.split(text) if "<|" in text else (text,):
-                        if part not in ids:
-                            counts.update(word_pretokens(part))
+                    for part in cutter.parts(text):
+                        if part not in cutter.special:
+                            found.update(cutter.pretokens(part))
+            for key, n in found.items():
+                if len(key) <= LONGEST:
+                    counts[key] += n
             if len(counts) > COUNTED:
                 counts = Counter(dict(counts.most_common(KEPT)))
         yield pa.RecordBatch.from_pydict({"summary": pa.array([_packed(counts)], pa.binary())})
@@ -42,7 +46,7 @@ def _summaries(path: str):
 
 
 def _packed(counts: Counter) -> bytes:
-    return zlib.compress(pickle.dumps([(k, n) for k, n in counts.most_common(2 * FREQUENT) if len(k) <= LONGEST]), 1)
+    return zlib.compress(pickle.dumps(counts.most_common(2 * FREQUENT)), 1)
 
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
@@ -76,14 +80,14 @@ def frequent_pretokens(texts: DataFrame, path: str, size: int = FREQUENT) -> dic
 def _counter(path: str, frequent, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = kept("lengths", path, lambda: lengths(path, frequent.value)).__getitem__  # whichever table a cache began with, lengths are the same
-        split, ids = special_strings(path)
+        cutter = Cutter(path)
+        cut, ids = cutter.pretokens, cutter.special
         for batch in slices(batches):
             n_bytes, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 n_bytes.append(len(text) if text.isascii() else len(text.encode()))
-                parts = split.split(text) if "<|" in text else (text,)
-                n_tokens.append(sum(1 if x in ids else sum(map(length, word_pretokens(x))) for x in parts))
+                n_tokens.append(sum(1 if x in ids else sum(map(length, cut(x))) for x in cutter.parts(text)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_())})
 
     return run
@@ -93,7 +97,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = OVER) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs, whole texts, in place (no shuffle of rows or pre-tokens).
 
     A null text counts as the empty one: no bytes, no tokens. The strings of special tokens count as one token each, as
-    the library has them by default. Repeated rows and null ids each give a row; other columns are not read.
+    the library has them by default. Repeated rows and null ids each give a row; other columns are not read. A tokenizer
+    file of a kind that isn't cut here gets whole texts, and no table.
     """
     spark = docs.sparkSession
     small_batches(spark)
