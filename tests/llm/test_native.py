@@ -236,7 +236,7 @@ def test_fingerprints_of_one_and_none(spark):
 
 # chat
 
-SCHEMAS = [("find", json.dumps({"properties": {"q": {"type": "string"}, "n": {"type": "integer"}, "w": {"type": "number"}}, "required": ["q"]}))]
+SCHEMAS = [("find", json.dumps({"properties": {"q": {"type": "string"}, "n": {"type": "integer"}, "w": {"type": "number"}}, "required": ["q"], "additionalProperties": False}))]
 
 
 def call(i, after=(), name="find", arguments=None):
@@ -254,7 +254,7 @@ def test_tool_calls(spark):
     calls = {(r["conv_id"], r["call_id"]): r for r in out if r["kind"] == "call"}
     assert calls[1, "a"]["level"] == 0 and calls[1, "b"]["level"] == 1 and calls[1, "a"]["result_turn"] == 2 and calls[1, "b"]["result_turn"] is None
     assert calls[2, "a"]["level"] is None and calls[2, "b"]["level"] is None and calls[2, "c"]["level"] == 0
-    assert calls[1, "a"]["valid"] and calls[2, "c"]["errors"] == "missing q; type of n; unknown k" and calls[2, "d"]["errors"] == "unknown tool" and calls[2, "e"]["errors"] == "no object" and calls[2, None]["errors"] == "unknown tool"
+    assert calls[1, "a"]["valid"] and calls[2, "c"]["errors"] == "missing q; type of n; unknown k" and calls[1, "b"]["valid"] and calls[2, "d"]["errors"] == "unknown tool" and calls[2, "e"]["errors"] == "no object" and calls[2, None]["errors"] == "unknown tool"
     told = json.loads(calls[1, "a"]["json"])
     assert told["result"] == {"content": "r1", "turn": 2} and told["arguments"] == {"n": 3, "q": "y", "w": 1}
     assert calls[1, "a"]["json"] == json.dumps(told, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -263,6 +263,50 @@ def test_tool_calls(spark):
     assert [json.loads(r["json"])["content"] for r in out if r["kind"] == "message" and r["conv_id"] == 1 and r["turn"] == 1] == ["look"]
 
 
+NESTED = {
+    "type": "object", "required": ["a"], "additionalProperties": {"type": ["string", "null"]}, "properties": {
+        "a": {"type": "object", "properties": {"b": {"type": "array", "items": {"type": "object", "required": ["c"], "properties": {"c": {"type": "integer"}}}}}, "additionalProperties": False},
+        "e": {"enum": ["x", 2, {"k": [1]}, None]}, "n": {"type": "number"}, "t": {"type": ["integer", "boolean"]}}}
+
+
+@pytest.mark.parametrize(("arguments", "errors"), [
+    ({"a": {}}, []), ({}, ["missing a"]), ({"a": []}, ["type of a"]), ({"a": {"z": 1}}, ["unknown a.z"]), ({"a": {"b": [{"c": 1}, {"c": 2}]}}, []), ({"a": {"b": [{"c": "1"}, {}, 7]}}, ["missing a.b[1].c", "type of a.b[0].c", "type of a.b[2]"]),
+    ({"a": {}, "e": "x"}, []), ({"a": {}, "e": {"k": [1]}}, []), ({"a": {}, "e": None}, []), ({"a": {}, "e": "y"}, ["value of e"]), ({"a": {}, "n": 1}, []), ({"a": {}, "n": 1.5}, []), ({"a": {}, "n": "1"}, ["type of n"]),
+    ({"a": {}, "t": True}, []), ({"a": {}, "t": 1.5}, ["type of t"]), ({"a": {}, "other": None, "more": "s"}, []), ({"a": {}, "other": 1}, ["type of other"]),
+])
+def test_schemas(spark, arguments, errors):
+    calls = spark.createDataFrame([(1, 0, "i", "f", json.dumps(arguments), [])], "conv_id bigint, turn bigint, call_id string, name string, arguments string, after array<string>")
+    assert chat.with_validation(calls, spark.createDataFrame([("f", json.dumps(NESTED))], "name string, schema string")).first()["errors"] == errors
+
+
+def test_long_chains_and_circles(spark):
+    """A chain of a thousand calls, each named before the one that it needs; a diamond; circles, and what needs them."""
+    links = [(1, f"c{i}", [f"c{i + 1}"] if i < 999 else []) for i in range(1000)] + [(2, "a", ["b", "c"]), (2, "b", ["d"]), (2, "c", ["e"]), (2, "d", []), (2, "e", ["d"]), (2, "a", ["nobody"])]
+    links += [(3, "a", ["a"]), (3, "b", ["a"]), (3, "c", []), (4, "a", ["b"]), (4, "b", ["c"]), (4, "c", ["a"]), (4, "d", ["e"]), (4, "e", []), (None, "a", ["b"]), (5, None, ["a"])]
+    calls = spark.createDataFrame([(c, 0, i, a) for c, i, a in links], "conv_id bigint, turn bigint, call_id string, after array<string>")
+    rows = chat.with_levels(calls).collect()
+    assert len(rows) == len(links)
+    found = {(r["conv_id"], r["call_id"]): r["level"] for r in rows}
+    assert [found[1, f"c{i}"] for i in range(1000)] == [999 - i for i in range(1000)]
+    assert [found[2, x] for x in "abcde"] == [3, 1, 2, 0, 1]
+    assert [found[3, x] for x in "abc"] == [None, None, 0] and [found[4, x] for x in "abcde"] == [None, None, None, 1, 0]
+    assert found[None, "a"] == found[5, None] == 0
+
+
+def test_plain_turns_and_blocks_together(spark, tmp_path):
+    """op3 over a table with tool blocks, plain turns, a very long text, nulls, repeated rows and extra columns."""
+    long = "word " * 50_000
+    rows = [(1, 0, "user", "a prompt of some length " * 8), (1, 1, "assistant", "fine"), (1, 2, "user", long), (1, 3, "assistant", "see " + call("x", ["1-2"], "reply", {"prompt": "p", "about": {"turn": 1}})), (1, 4, "tool", '<tool_result>{"id": "x", "content": "r"}</tool_result>')]
+    rows += [(2, 0, "user", None), (None, None, None, None), (1, 1, "assistant", "fine")]
+    spark.createDataFrame([(*r, 1, "n") for r in rows], "conv_id bigint, turn bigint, role string, text string, level int, name string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = chat.op3_chat_formatting(spark, str(tmp_path)).collect()
+    calls = {(r["conv_id"], r["call_id"]): r for r in out if r["kind"] == "call"}
+    assert calls[1, "1-0"]["level"] == 0 and calls[1, "1-2"]["level"] == 1 and calls[1, "1-2"]["errors"] == "value of about.size" and calls[1, "x"]["level"] == 2 and calls[1, "x"]["valid"] and calls[1, "x"]["result_turn"] == 4
+    assert calls[2, "2-s"]["errors"] == "type of prompt" and calls[1, "1-0"]["result_turn"] == 1
+    assert json.loads(calls[1, "1-2"]["json"])["arguments"]["prompt"] == long
+    assert sorted(json.loads(r["json"])["content"] or "" for r in out if r["kind"] == "message") == ["", "", "see"]
+
+
 def test_no_conversations(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     calls, results = chat.turns_as_calls(none)

@@ -9,21 +9,22 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, read_table, whole, written
+from .common import dropped, let, read_table, whole, written
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
 #: Tables of schemas up to this many tools are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_TOOLS = 50_000
-SCHEMA_TYPE = "struct<properties: map<string, struct<type: string>>, required: array<string>>"
 
-#: The tool that op3 sees behind the plain turns of conversations.
-REPLY = ("reply", json.dumps({"type": "object", "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"]}))
+#: Characters below which op3 takes a turn for short, and from which on for long.
+SHORT, LONG = 100, 300
 
-
-def canonical(text: Column) -> Column:
-    """JSON with sorted keys and no white space; null where the text is not JSON."""
-    return F.to_json(F.try_parse_json(text))
+#: Tools that op3 sees behind the plain turns of conversations.
+TOOLS = [
+    ("reply", json.dumps({"type": "object", "additionalProperties": False, "required": ["prompt", "about"], "properties": {"prompt": {"type": "string"}, "about": {
+        "type": "object", "additionalProperties": False, "required": ["turn"], "properties": {"turn": {"type": "integer"}, "size": {"enum": ["short", "medium"]}}}}})),
+    ("ask", json.dumps({"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": ["string", "null"]}, "lines": {"type": "array", "items": {"type": "string"}}}})),
+]
 
 
 def parse_calls(messages: DataFrame) -> DataFrame:
@@ -52,62 +53,117 @@ def _json_type(v: Column) -> Column:
     )
 
 
+def _fields(v: Column) -> Column:
+    """The fields of a variant that is an object; else null."""
+    return F.when(_json_type(v) == "object", F.from_json(F.to_json(v), "map<string,variant>"))
+
+
+def _items(v: Column) -> Column:
+    return F.when(_json_type(v) == "array", F.from_json(F.to_json(v), "array<variant>"))
+
+
+def _strings(v: Column) -> Column:
+    """A variant's strings: its own, or those of an array; null for anything else."""
+    return F.when(_json_type(v) == "array", F.from_json(F.to_json(v), "array<string>")).when(_json_type(v) == "string", F.array(v.cast("string")))
+
+
+def schema_errors(value: Column, schema: Column, at: Column, depth: int) -> Column:
+    """What a value (a variant) has against a JSON Schema (a variant), down to a depth, each with its place.
+
+    type (a name or a list of names; an integer is a number), enum (by canonical JSON), required, properties,
+    additionalProperties (false, or a schema for what isn't listed) and items (a schema). Other keywords are not read.
+    """
+    none = F.array().cast("array<string>")
+    child = lambda v, s, place: F.struct(v.alias("v"), s.alias("s"), place.alias("at"))
+
+    def of(rule: Column, given: Column) -> Column:
+        key = lambda name: F.try_element_at(rule, F.lit(name))
+        below = lambda name: F.when(at == "$", name).otherwise(F.concat(at, F.lit("."), name))
+        kind, listed = _json_type(value), F.coalesce(_fields(key("properties")), F.create_map().cast("map<string,variant>"))
+        more = F.array_except(F.map_keys(given), F.map_keys(listed))
+        found = [
+            F.when(~F.exists(_strings(key("type")), lambda t: (t == kind) | ((t == "number") & (kind == "integer"))), F.array(F.concat(F.lit("type of "), at))),
+            F.when(~F.exists(_items(key("enum")), lambda e: F.to_json(e) == F.to_json(value)), F.array(F.concat(F.lit("value of "), at))),
+            F.transform(F.array_except(_strings(key("required")), F.map_keys(given)), lambda k: F.concat(F.lit("missing "), below(k))),
+            F.when(F.to_json(key("additionalProperties")) == "false", F.transform(more, lambda k: F.concat(F.lit("unknown "), below(k)))),
+        ]
+        if depth > 1:
+            children = [
+                F.transform(F.array_intersect(F.map_keys(given), F.map_keys(listed)), lambda k: child(F.try_element_at(given, k), F.try_element_at(listed, k), below(k))),
+                F.when(_json_type(key("additionalProperties")) == "object", F.transform(more, lambda k: child(F.try_element_at(given, k), key("additionalProperties"), below(k)))),
+                F.when(key("items").isNotNull(), F.transform(_items(value), lambda x, i: child(x, key("items"), F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))),
+            ]
+            all_children = F.concat(*[F.coalesce(c, F.array().cast("array<struct<v:variant,s:variant,at:string>>")) for c in children])
+            found.append(F.flatten(F.transform(all_children, lambda c: schema_errors(c["v"], c["s"], c["at"], depth - 1))))
+        return F.concat(*[F.coalesce(x, none) for x in found])
+
+    return F.coalesce(let(_fields(schema), lambda rule: let(_fields(value), lambda given: of(rule, given))), none)
+
+
+def schema_depth(schema: Column) -> Column:
+    """How deep a schema's braces nest, which the values that it speaks of can't exceed."""
+    braces = F.regexp_replace(F.regexp_replace(schema, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(F.split(braces, ""), start, step, lambda a: a["most"])
+
+
 def with_validation(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """calls with errors: what their arguments have against the schema of the tool that they name, in sorted order.
 
-    Checked: the tool is known, arguments are an object, required ones are there, others are known, types agree (an integer
-    is a number). schemas: name, schema (JSON Schema of an object). Of repeated names the least schema holds.
+    The tool must be known and arguments an object; then schema_errors, as deep as the schemas go. schemas: name, schema
+    (JSON Schema of an object; one that is no JSON asks for nothing). Of repeated names the least schema holds.
     """
     schemas = schemas.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("schema").alias("_schema"))
-    parsed = schemas.select(F.col("name").alias("_name"), F.from_json("_schema", SCHEMA_TYPE).alias("_schema"))
-    if schemas.count() <= BROADCAST_TOOLS:
+    told = schemas.agg(F.count("*").alias("n"), F.max(schema_depth(F.col("_schema"))).alias("depth")).first()
+    parsed = schemas.select(F.col("name").alias("_name"), F.try_parse_json("_schema").alias("_schema"))
+    if told["n"] <= BROADCAST_TOOLS:
         parsed = F.broadcast(parsed)
-    found = calls.join(parsed, F.col("name") == F.col("_name"), "left")
-    given = F.from_json(F.when(F.col("arguments").rlike(r"^\s*\{"), F.col("arguments")), "map<string, variant>")
-    found = found.withColumn("_given", given)
-    no_strings = F.array().cast("array<string>")
-    known, types = F.coalesce(F.map_keys("_schema.properties"), no_strings), F.col("_schema.properties")
-    missing = F.transform(F.array_except(F.coalesce(F.col("_schema.required"), no_strings), F.map_keys("_given")), lambda k: F.concat(F.lit("missing "), k))
-    unknown = F.transform(F.array_except(F.map_keys("_given"), known), lambda k: F.concat(F.lit("unknown "), k))
-
-    def wrong(k: Column) -> Column:
-        want, got = F.element_at(types, k)["type"], _json_type(F.element_at(F.col("_given"), k))
-        return want.isNotNull() & (want != got) & ~((want == "number") & (got == "integer"))
-
-    mistyped = F.transform(F.filter(F.array_intersect(F.map_keys("_given"), known), wrong), lambda k: F.concat(F.lit("type of "), k))
-    errors = F.when(F.col("_name").isNull(), F.array(F.lit("unknown tool"))).when(F.col("_given").isNull(), F.array(F.lit("no object"))).otherwise(F.array_sort(F.concat(missing, unknown, mistyped)))
+    found = calls.join(parsed, F.col("name") == F.col("_name"), "left").withColumn("_given", F.try_parse_json("arguments"))
+    errors = (
+        F.when(F.col("_name").isNull(), F.array(F.lit("unknown tool"))).when(F.col("_given").isNull() | (_json_type(F.col("_given")) != "object"), F.array(F.lit("no object")))
+        .otherwise(F.array_sort(schema_errors(F.col("_given"), F.col("_schema"), F.lit("$"), max(1, told["depth"] or 1))))
+    )
     return found.withColumn("errors", errors).drop("_name", "_schema", "_given")
 
 
 def with_levels(calls: DataFrame) -> DataFrame:
-    """calls with level (null in or behind a circle), so that order by level, then turn is topological.
+    """calls with level: how many calls the longest chain of those that it needs has; null in or behind a circle.
 
-    A call comes after those it names. Those of earlier turns come first anyway and only hand on their level; one of the
-    same or a later turn raises it by one. Where no call names such a one, all levels are zero and nothing is joined.
-    Levels grow until nothing changes; a level above the number of raising links can only come from a circle.
+    So order by level is topological. Paths double in every round: the paths of so many links become those of twice as
+    many, a row for each pair of ends, so a chain of a thousand calls takes ten rounds. A path of more links than its
+    conversation has can only come from a circle. Of calls with one identifier all count.
     """
-    links = calls.select("conv_id", F.col("call_id").alias("id"), "turn", F.explode("after").alias("on_id")).join(
-        calls.groupBy("conv_id", F.col("call_id").alias("on_id")).agg(F.min("turn").alias("on_turn")), ["conv_id", "on_id"]
-    ).select("conv_id", "id", "on_id", (F.col("on_turn") >= F.col("turn")).cast("int").alias("raises")).distinct()
-    raising = links.groupBy("conv_id").agg(F.sum("raises").alias("n")).where("n > 0")
-    # only conversations with a raising link need levels
-    links = written(links.join(raising, "conv_id"), "chat-links")
-    if links.isEmpty():
-        return calls.withColumn("level", F.lit(0).cast("bigint"))
+    named = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
+    wanted = named.select("conv_id", F.col("call_id").alias("id"), F.explode("after").alias("on_id")).where("on_id IS NOT NULL").distinct()
+    links = wanted.join(named.select("conv_id", F.col("call_id").alias("on_id")).distinct(), ["conv_id", "on_id"], "left_semi")
+    paths = written(links.select("conv_id", "id", "on_id"), "chat-paths")
     spark = calls.sparkSession
-    ids = links.select("conv_id", "id", "n").union(links.select("conv_id", F.col("on_id").alias("id"), "n")).distinct()
-    levels = written(ids.withColumn("level", F.lit(0).cast("bigint")), "chat-levels")
+    n = (paths.groupBy("conv_id").count().agg(F.max("count")).first()[0]) or 0  # links of a conversation at most
+    if not n:
+        return calls.withColumn("level", F.lit(0).cast("bigint"))
+    ends = paths.select("conv_id", "id").union(paths.select("conv_id", F.col("on_id").alias("id"))).distinct()
+    levels, length = written(ends.withColumn("level", F.lit(0).cast("bigint")), "chat-levels"), 1
     while True:
-        up = links.select("conv_id", "id", "on_id", "raises").join(levels.select("conv_id", F.col("id").alias("on_id"), F.col("level").alias("l")), ["conv_id", "on_id"])
-        up = up.groupBy("conv_id", "id").agg(F.max(F.col("l") + F.col("raises")).alias("up"))
-        capped = F.least(F.greatest("level", F.coalesce("up", F.lit(0))), F.col("n") + 1)
-        new = written(levels.join(up, ["conv_id", "id"], "left").select("conv_id", "id", "n", capped.cast("bigint").alias("level")), "chat-levels")
-        sums = [t.agg(F.sum("level")).first()[0] for t in (levels, new)]
+        # levels holds the longest path of fewer than length links from each call, paths the ends of those of length links
+        up = paths.join(levels.select("conv_id", F.col("id").alias("on_id"), F.col("level").alias("l")), ["conv_id", "on_id"]).groupBy("conv_id", "id").agg(F.max("l").alias("up"))
+        new = written(levels.join(up, ["conv_id", "id"], "left").select("conv_id", "id", F.greatest("level", F.col("up") + length).alias("level")), "chat-levels")
         dropped(spark, levels)
         levels = new
-        if sums[0] == sums[1]:
+        if 2 * length - 1 > n:
+            break
+        twice = paths.join(paths.select("conv_id", F.col("id").alias("on_id"), F.col("on_id").alias("far")), ["conv_id", "on_id"])
+        further = written(twice.select("conv_id", "id", F.col("far").alias("on_id")).distinct(), "chat-paths")
+        dropped(spark, paths)
+        paths, length = further, 2 * length
+        if paths.isEmpty():
             break
-    found = levels.select("conv_id", F.col("id").alias("call_id"), "level", (F.col("level") > F.col("n")).alias("circle"))
+    # a path longer than all links together takes some link twice
+    found = levels.select("conv_id", F.col("id").alias("call_id"), "level", (F.col("level") > n).alias("circle"))
     joined = calls.join(found, ["conv_id", "call_id"], "left")
     return joined.withColumn("level", F.when(F.coalesce("circle", F.lit(False)), F.lit(None)).otherwise(F.coalesce("level", F.lit(0)))).drop("circle")
 
@@ -151,45 +207,66 @@ def format_messages(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
     Null roles and texts stay null in the JSON; messages that repeat each give their rows; extra columns are not read.
     """
-    plain = F.btrim(F.regexp_replace(F.regexp_replace("text", CALL, ""), RESULT, ""))
-    return link_calls(parse_calls(messages), parse_results(messages), schemas).unionByName(message_rows(messages.select("conv_id", "turn", "role", plain.alias("text"))))
+    plain = messages.select("conv_id", "turn", "role", without_blocks(F.col("text")).alias("text"))
+    return link_calls(parse_calls(messages), parse_results(messages), schemas).unionByName(message_rows(plain))
+
+
+def without_blocks(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, CALL, ""), RESULT, ""))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain turns as calls and results of the tool reply.
+    """Plain turns as calls and results of TOOLS.
 
-    A user's turn is a call with the turn's text as prompt, named by conversation and turn, after the call two turns
-    before; an assistant's turn is the result of the call of the turn before it.
+    A user's turn is a call of ask, with its lines, if its text has several, else of reply, with its place and size. Calls
+    are named by conversation and turn, but all those of less than SHORT characters by conversation alone, so identifiers
+    repeat. A call needs those of the turn two before and of turn 0, as far as there are calls of that name. An assistant's
+    turn is the result of the call named by the turn before it, which may not be there.
     """
-    me = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    other = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")), {"ignoreNullFields": "false"})
-    calls = messages.where("role = 'user'").select("conv_id", "turn", me.alias("call_id"), F.lit(REPLY[0]).alias("name"), arguments.alias("arguments"), F.when(F.col("turn") > 1, F.array(other(2))).otherwise(F.array().cast("array<string>")).alias("after"))
-    results = messages.where("role = 'assistant'").select("conv_id", "turn", other(1).alias("call_id"), F.col("text").alias("content"))
+    name = lambda at: F.concat_ws("-", F.col("conv_id").cast("string"), at.cast("string"))
+    length, turn = F.char_length(whole("text")), F.col("turn")
+    size = F.when(length < SHORT, "short").when(length < LONG, "medium").otherwise("long")
+    asks, keep = F.contains(whole("text"), F.lit("\n")), {"ignoreNullFields": "false"}
+    reply = F.to_json(F.struct(F.col("text").alias("prompt"), F.struct("turn", size.alias("size")).alias("about")), keep)
+    ask = F.to_json(F.struct(F.col("text").alias("prompt"), F.split("text", "\n").alias("lines")), keep)
+    needs = F.when(turn == 2, F.array(name(turn - 2))).when(turn > 2, F.array(name(turn - 2), name(F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    named = F.when(length < SHORT, name(F.lit("s"))).otherwise(name(turn))
+    calls = messages.where("role = 'user'").select("conv_id", "turn", named.alias("call_id"), F.when(asks, "ask").otherwise("reply").alias("name"), F.when(asks, ask).otherwise(reply).alias("arguments"), needs.alias("after"))
+    results = messages.where("role = 'assistant'").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: all conversations; turns of users and assistants linked as calls and results of the tool reply, others as messages."""
+    """op3: all conversations; tool blocks in any text, and of the other turns those of users and assistants as calls and results of TOOLS."""
     messages = read_table(spark, sf_dir, "conversations")
-    calls, results = turns_as_calls(messages)
-    others = messages.where("role IS NULL OR role NOT IN ('user', 'assistant')")
-    return link_calls(calls, results, spark.createDataFrame([REPLY], "name string, schema string")).unionByName(message_rows(others))
+    blocks = F.coalesce(F.contains("text", F.lit("<tool_call>")) | F.contains("text", F.lit("<tool_result>")), F.lit(False))
+    calls, results = turns_as_calls(messages.where(~blocks))
+    calls, results = calls.unionByName(parse_calls(messages.where(blocks))), results.unionByName(parse_results(messages.where(blocks)))
+    others = messages.where(blocks | F.col("role").isNull() | ~F.col("role").isin("user", "assistant")).withColumn("text", F.when(blocks, without_blocks(F.col("text"))).otherwise(F.col("text")))
+    return link_calls(calls, results, spark.createDataFrame(TOOLS, "name string, schema string")).unionByName(message_rows(others))
 
 
 OP3_SQL = """
-WITH c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text, CASE WHEN turn > 1 THEN [conv_id || '-' || (turn - 2)] ELSE [] END AS after FROM conversations WHERE role = 'user'),
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, conv_id || '-' || CASE WHEN length(coalesce(text, '')) < 100 THEN 's' ELSE turn::VARCHAR END AS call_id, contains(coalesce(text, ''), chr(10)) AS asks,
+  CASE WHEN length(coalesce(text, '')) < 100 THEN 'short' WHEN length(text) < 300 THEN 'medium' ELSE 'long' END AS size,
+  CASE WHEN turn = 2 THEN [conv_id || '-0'] WHEN turn > 2 THEN [conv_id || '-' || (turn - 2), conv_id || '-0'] ELSE [] END AS after FROM conversations WHERE role = 'user'),
+d AS (SELECT DISTINCT x.conv_id, x.call_id, x.on_id FROM (SELECT conv_id, call_id, unnest(after) AS on_id FROM c) x JOIN c ON c.conv_id = x.conv_id AND c.call_id = x.on_id),
+p AS (SELECT DISTINCT conv_id, call_id, 0::BIGINT AS n FROM c UNION SELECT d.conv_id, d.call_id, p.n + 1 FROM d JOIN p ON p.conv_id = d.conv_id AND p.call_id = d.on_id),
+l AS (SELECT conv_id, call_id, max(n) AS level FROM p GROUP BY ALL),
 r AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
 f AS (SELECT conv_id, call_id, arg_min(text, turn) AS text, min(turn) AS turn FROM r GROUP BY ALL),
-e AS (SELECT c.*, CASE WHEN c.text IS NULL THEN ['type of prompt'] ELSE [] END AS errs, f.text AS answer, f.turn AS result_turn FROM c LEFT JOIN f USING (conv_id, call_id))
-SELECT conv_id, turn, 'call' AS kind, call_id, 'reply' AS name, result_turn, 0::BIGINT AS level, len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors,
-  '{"after":' || to_json(after) || ',"arguments":{"prompt":' || coalesce(to_json(text), 'null') || ',"turn":' || turn || '},"errors":' || to_json(errs) || ',"id":"' || call_id || '","level":0,"name":"reply","result":'
+e AS (SELECT c.*, l.level, CASE WHEN asks THEN 'ask' ELSE 'reply' END AS name,
+  CASE WHEN asks THEN [] WHEN c.text IS NULL THEN ['type of prompt'] WHEN size = 'long' THEN ['value of about.size'] ELSE [] END AS errs, f.answer, f.result_turn
+  FROM c JOIN l USING (conv_id, call_id) LEFT JOIN (SELECT conv_id, call_id, text AS answer, turn AS result_turn FROM f) f USING (conv_id, call_id))
+SELECT conv_id, turn, 'call' AS kind, call_id, name, result_turn, level, len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors,
+  '{"after":' || to_json(list_sort(after)) || ',"arguments":' || CASE WHEN asks THEN '{"lines":' || to_json(string_split(text, chr(10))) || ',"prompt":' || to_json(text) || '}'
+    ELSE '{"about":{"size":"' || size || '","turn":' || turn || '},"prompt":' || coalesce(to_json(text), 'null') || '}' END || ',"errors":' || to_json(errs) || ',"id":"' || call_id || '","level":' || level || ',"name":"' || name || '","result":'
   || CASE WHEN result_turn IS NULL THEN 'null' ELSE '{"content":' || coalesce(to_json(answer), 'null') || ',"turn":' || result_turn || '}' END || ',"role":"call","turn":' || turn || '}' AS json
 FROM e
 UNION ALL
 SELECT r.conv_id, r.turn, 'result', r.call_id, NULL, NULL, NULL, false, 'no call',
   '{"content":' || coalesce(to_json(r.text), 'null') || ',"id":"' || r.call_id || '","role":"result","turn":' || r.turn || '}'
-FROM r LEFT JOIN c ON r.conv_id = c.conv_id AND r.call_id = c.call_id WHERE c.call_id IS NULL
+FROM r LEFT JOIN (SELECT DISTINCT conv_id, call_id FROM c) c ON r.conv_id = c.conv_id AND r.call_id = c.call_id WHERE c.call_id IS NULL
 UNION ALL
 SELECT conv_id, turn, 'message', NULL, NULL, NULL, NULL, true, '',
   '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || ',"turn":' || turn || '}'
