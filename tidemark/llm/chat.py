@@ -101,15 +101,20 @@ def schema_errors(value: Column, schema: Column, at: Column, depth: int) -> Colu
 
 
 def schema_depth(schema: Column) -> Column:
-    """How deep a schema's braces nest, which the values that it speaks of can't exceed."""
-    braces = F.regexp_replace(F.regexp_replace(schema, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}]", "")
+    """At least how many levels of values a schema speaks of.
+
+    From the nesting of its braces: a level costs two of them by properties, one by items or additionalProperties.
+    """
+    bare = F.regexp_replace(schema, r'"(?:[^"\\]|\\.)*"', "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(a: Column, c: Column) -> Column:
         now = a["now"] + F.when(c == "{", 1).otherwise(-1)
         return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
 
-    return F.aggregate(F.split(braces, ""), start, step, lambda a: a["most"])
+    nested = F.aggregate(F.split(F.regexp_replace(bare, r"[^{}]", ""), ""), start, step, lambda a: a["most"])
+    single = F.regexp_count(schema, F.lit(r'"(?:items|additionalProperties)"'))
+    return 1 + F.floor((F.greatest(nested, F.lit(1)) - 1 + F.least(single, nested)) / 2).cast("int")
 
 
 def with_validation(calls: DataFrame, schemas: DataFrame) -> DataFrame:

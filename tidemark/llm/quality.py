@@ -15,7 +15,7 @@ WINDOW = 8
 #: Rows on which costs and selectivities are estimated, as an expected number; the estimate alters the order alone.
 SAMPLE_ROWS = 2000
 #: Passes over the sample for each rule.
-PASSES = 3
+PASSES = 2
 
 
 def n_duplicate_lines(text: Column) -> Column:
