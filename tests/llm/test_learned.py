@@ -188,7 +188,7 @@ def test_forest_loses_no_link(spark, monkeypatch, radius):
     signed = np.array(f, np.uint64).view(np.int64).tolist()
     table = written(spark.createDataFrame([(x,) for x in signed], "f0 long"), "prints")
     # the workers import the module anew, so small leaves are tried in this process too
-    found = components.connected_components(written(simhash.near_links(table, radius), "links")).toPandas()
+    found = components.connected_components(written(simhash.near_links(table, simhash.blocks_of(radius), radius), "links")).toPandas()
     root = dict(zip(found["node"], found["root"], strict=True))
     wanted = components_of(f, signed, radius)
     assert [root.get(x, x) for x in signed] == wanted
@@ -200,8 +200,8 @@ def test_forest_loses_no_link(spark, monkeypatch, radius):
             i = up[i]
         return i
 
-    for mask, allowance in simhash.blocks_of(radius):
-        for i, j in enumerate(simhash.shard_links(arr, None, np.zeros(len(arr), bool), mask, allowance, radius, 0)):
+    for bits, allowance in simhash.blocks_of(radius):
+        for i, j in enumerate(simhash.shard_links(simhash.values_of([arr], bits), arr, None, np.zeros(len(arr), bool), allowance, radius, 0)):
             a, b = top(i), top(int(j))
             up[max(a, b)] = min(a, b)
     groups = {}
@@ -227,7 +227,7 @@ def test_leaf_keeps_links_between_reached_positions():
     for f in (ends + middles, [int(x) for x in r.permutation(np.array(ends + middles, np.uint64))]):
         assert len(f) > 1000
         forest = simhash.Forest(len(f))
-        simhash._leaf(forest, np.array(f, np.uint64), None, np.arange(len(f)), np.zeros(len(f), bool), 4, 0)
+        simhash._leaf(forest, np.array(f, np.uint64), np.array(f, np.uint64), None, np.arange(len(f)), np.zeros(len(f), bool), 4, 4, 0)
         assert [forest.root(i) for i in range(len(f))] == components_of(f, list(range(len(f))), 4)
 
 

@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a forest of vantage-point trees, exact for any Hamming radius.
 
 Fingerprints are cut into blocks of bits, so many that two fingerprints within the radius are within a radius of one in at
-least one block (a block of radius r allows r differing bits; the allowances add up to the radius, less one a block). The
-distance within a block is a metric, so each block gets a vantage-point tree: a node sends a fingerprint to its inner side
+least one block (a block of radius r allows r differing bits; the allowances add up to the radius, less one a block). A
+block's bits make a short value, and the distance between values is a metric, so each block gets a vantage-point tree: a node sends a fingerprint to its inner side
 if it is within the node's threshold of the vantage point, else to the outer side. By the triangle inequality two
 fingerprints within the block's radius part only near the threshold, so fingerprints that lie just beyond it also visit
 the inner side; a visitor goes on to each side that can hold a partner. The upper levels form the shards of the cluster,
@@ -11,8 +11,8 @@ the lower ones are built within a shard. What remains in a leaf is compared by w
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,8 +27,8 @@ from .components import connected_components
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that vantage points and thresholds are chosen from, as an expected number; they steer shards' sizes alone.
 SAMPLE = 32_768
-#: Fingerprints of a shard to aim at, levels of the shard tree at most, and fingerprints compared without a further split.
-SHARD, LEVELS, LEAF = 4_000, 12, 1_500
+#: Fingerprints of a shard to aim at, those of the sample for each shard at least, and fingerprints compared without a further split.
+SHARD, SHARD_SAMPLE, LEAF = 32_768, 16, 1_000
 
 
 # fingerprints
@@ -78,22 +78,34 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seeds: tuple[int, ...] = (
 # trees
 
 
-def blocks_of(radius: int) -> list[tuple[int, int]]:
-    """(mask, allowance) of blocks: allowances of one, the last of none if that is enough; a pair within the radius is within some block's."""
+#: A block: the positions of its bits in the concatenated fingerprints (64 to a column), and how many may differ.
+Block = tuple[tuple[int, ...], int]
+
+
+def blocks_of(radius: int) -> list[Block]:
+    """Blocks of one fingerprint: allowances of one, the last of none if that is enough; a pair within the radius is within some block's."""
     allowances = [1] * ((radius + 1) // 2) + [0] * ((radius + 1) % 2)
     edges = np.linspace(0, 64, len(allowances) + 1).round().astype(int)
-    return [(((1 << int(b)) - 1) ^ ((1 << int(a)) - 1), r) for a, b, r in zip(edges, edges[1:], allowances, strict=False)]
+    return [(tuple(range(int(a), int(b))), r) for a, b, r in zip(edges, edges[1:], allowances, strict=False)]
+
 
+def values_of(prints: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
+    """The block's bits of fingerprints (a column each) as one number."""
+    out = np.zeros(len(prints[0]), np.uint64)
+    for i, b in enumerate(bits):
+        out |= (prints[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(i)
+    return out
 
-def _distance(f: np.ndarray, vantage: int, mask: int) -> np.ndarray:
-    return np.bitwise_count((f ^ np.uint64(vantage)) & np.uint64(mask))
 
+def _distance(values: np.ndarray, vantage: int) -> np.ndarray:
+    return np.bitwise_count(values ^ values.dtype.type(vantage))
 
-def vantage_point(f: np.ndarray, mask: int) -> tuple[int, int] | None:
+
+def vantage_point(f: np.ndarray) -> tuple[int, int] | None:
     """A vantage point among f and a threshold that halves f as evenly as the first few candidates allow; None if none parts it."""
     best = None
     for v in f[:: max(1, len(f) // 5)][:5]:
-        d = _distance(f, v, mask)
+        d = _distance(f, v)
         counts = np.cumsum(np.bincount(d, minlength=65))
         t = int(np.argmin(np.abs(counts - len(f) / 2)))
         odd = abs(int(counts[t]) - len(f) / 2)
@@ -102,29 +114,29 @@ def vantage_point(f: np.ndarray, mask: int) -> tuple[int, int] | None:
     return best and best[1:]
 
 
-def shard_tree(sample: np.ndarray, mask: int, levels: int) -> list[tuple[int, int] | None]:
+def shard_tree(sample: np.ndarray, levels: int) -> list[tuple[int, int] | None]:
     """Vantage points and thresholds in heap order; None where a branch isn't split further."""
     nodes: list = [None] * ((1 << levels) - 1)
     parts = {0: sample}
     for i in range(len(nodes)):
         f = parts.pop(i, None)
-        if f is not None and len(f) >= 16 and (found := vantage_point(f, mask)):
+        if f is not None and len(f) >= SHARD_SAMPLE and (found := vantage_point(f)):
             nodes[i] = found
-            inner = _distance(f, found[0], mask) <= found[1]
+            inner = _distance(f, found[0]) <= found[1]
             parts[2 * i + 1], parts[2 * i + 2] = f[inner], f[~inner]
     return nodes
 
 
-def _split(f: np.ndarray, visits: np.ndarray, node: tuple[int, int], mask: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _split(f: np.ndarray, visits: np.ndarray, node: tuple[int, int], r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Indices that go inside and outside, and whether they do so as visitors."""
-    d = _distance(f, node[0], mask).astype(np.int64)
+    d = _distance(f, node[0]).astype(np.int64)
     near = d <= node[1]
     inner = np.flatnonzero(near | (d <= node[1] + r))
     outer = np.flatnonzero(~near | (visits & (d > node[1] - r)))
     return inner, visits[inner] | ~near[inner], outer, visits[outer]
 
 
-def route(f: np.ndarray, nodes: list, mask: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(f: np.ndarray, nodes: list, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index, leaf and visitor flag for every place that a fingerprint has in a tree."""
     out, todo = [], [(0, np.arange(len(f)), np.zeros(len(f), bool))]
     while todo:
@@ -134,7 +146,7 @@ def route(f: np.ndarray, nodes: list, mask: int, r: int) -> tuple[np.ndarray, np
         if i >= len(nodes) or nodes[i] is None:
             out.append((at, np.full(len(at), i, np.int32), visits))
             continue
-        inner, vi, outer, vo = _split(f[at], visits, nodes[i], mask, r)
+        inner, vi, outer, vo = _split(f[at], visits, nodes[i], r)
         todo += [(2 * i + 1, at[inner], vi), (2 * i + 2, at[outer], vo)]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, np.int32), np.empty(0, bool))
 
@@ -161,22 +173,26 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def _leaf(forest: Forest, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray, visits: np.ndarray, radius: int, wide_radius: int) -> None:
+def _leaf(forest: Forest, values: np.ndarray, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray, visits: np.ndarray, r: int, radius: int, wide_radius: int) -> None:
     """Join what is linked among positions at, breadth first: what a component has reached is no target of its own any more.
 
+    Whole fingerprints are compared where the block's values are within r, as other pairs meet in another block.
+
     What one component has reached and not yet searched from stays a target for the others, as several are searched at once.
     A dense group costs its rows times what lies outside of it, not its square. The search starts from natives only, as
     the pairs of two visitors meet elsewhere.
     """
 
-    def hits(r: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        hit = np.bitwise_count(f[r][:, None] ^ f[targets][None, :]) <= radius
-        hit &= r[:, None] != targets[None, :]
+    def hits(rows: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in rows and in targets of what is linked, in order of rows."""
+        if not len(targets):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = np.divmod(np.flatnonzero(np.bitwise_count(values[rows][:, None] ^ values[targets][None, :]) <= r), len(targets))
+        x, y = rows[a], targets[b]
+        near = (np.bitwise_count(f[x] ^ f[y]) <= radius) & (x != y)
         if wide is not None:
-            a, b = np.nonzero(hit)
-            far = np.bitwise_count(wide[r[a]] ^ wide[targets[b]]).sum(axis=1, dtype=np.int64) > wide_radius
-            hit[a[far], b[far]] = False
-        return hit
+            near[near] = np.bitwise_count(wide[x[near]] ^ wide[y[near]]).sum(axis=1, dtype=np.int64) <= wide_radius
+        return a[near], b[near]
 
     open_, queue, seen = at, np.empty(0, np.int64), set()
     seeds, p = at[~visits].tolist(), 0
@@ -186,10 +202,10 @@ def _leaf(forest: Forest, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray
             roots = np.array([forest.root(x) for x in queue.tolist()])
             order = np.argsort(roots, kind="stable")
             queue, roots = queue[order], roots[order]
-            r = queue[:room]
-            others = queue[roots != roots[0]] if roots[len(r) - 1] == roots[0] else queue
-            a, b = np.nonzero(hits(r, others)) if len(others) else ((), ())
-            for x, y in zip(r[a].tolist(), others[b].tolist(), strict=True) if len(a) else ():
+            q = queue[:room]
+            others = queue[roots != roots[0]] if roots[len(q) - 1] == roots[0] else queue
+            a, b = hits(q, others)
+            for x, y in zip(q[a].tolist(), others[b].tolist(), strict=True):
                 forest.join(x, y)
             queue = queue[room:]
         else:
@@ -199,81 +215,88 @@ def _leaf(forest: Forest, f: np.ndarray, wide: np.ndarray | None, at: np.ndarray
                 p += room
             if not rows:
                 return
-            r = np.array(rows)
-        rows = r.tolist()
+            q = np.array(rows)
+        rows = q.tolist()
         seen.update(rows)
-        hit = hits(r, open_)
-        a, b = np.nonzero(hit)
+        a, b = hits(q, open_)
         if len(a):
-            first = np.argmax(hit, axis=0)
-            for x in np.unique(a.astype(np.int64) * len(rows) + first[b]).tolist():  # rows that share a target
+            first = np.zeros(len(open_), np.int64)
+            first[b[::-1]] = a[::-1]
+            for x in np.unique(a * len(rows) + first[b]).tolist():  # rows that share a target
                 forest.join(rows[x // len(rows)], rows[x % len(rows)])
             reached = np.unique(b)
             for c, t in zip(first[reached].tolist(), open_[reached].tolist(), strict=True):
                 forest.join(t, rows[c])
             queue = np.concatenate([queue, [t for t in open_[reached].tolist() if t not in seen]]).astype(np.int64)
             open_ = np.delete(open_, reached)
-        open_ = open_[~np.isin(open_, r)]
+        open_ = open_[~np.isin(open_, q)]
 
 
-def shard_links(f: np.ndarray, wide: np.ndarray | None, visits: np.ndarray, mask: int, r: int, radius: int, wide_radius: int) -> np.ndarray:
-    """For every position the least position of its component in this shard."""
+def shard_links(values: np.ndarray, f: np.ndarray, wide: np.ndarray | None, visits: np.ndarray, r: int, radius: int, wide_radius: int) -> np.ndarray:
+    """For every position the least position of its component in this shard; values are those of the shard's block."""
     forest = Forest(len(f))
+    widest = int(values.max(initial=0))
+    values = values.astype(np.uint16 if widest < 1 << 16 else np.uint32 if widest < 1 << 32 else np.uint64)
     todo = [(np.arange(len(f)), visits, 0)]
     while todo:
         at, v, depth = todo.pop()
         natives = int((~v).sum())
         if not natives or len(at) < 2:
             continue
-        node = vantage_point(f[at[~v]], mask) if natives > LEAF and depth < 40 else None
+        node = vantage_point(values[at[~v]]) if natives > LEAF and depth < 40 else None
         if node is None:
-            _leaf(forest, f, wide, at, v, radius, wide_radius)
+            _leaf(forest, values, f, wide, at, v, r, radius, wide_radius)
             continue
-        inner, vi, outer, vo = _split(f[at], v, node, mask, r)
+        inner, vi, outer, vo = _split(values[at], v, node, r)
         if len(inner) + len(outer) > 1.7 * len(at) and natives < 20 * LEAF or max(len(inner), len(outer)) == len(at):
-            _leaf(forest, f, wide, at, v, radius, wide_radius)  # a split that parts too little
+            _leaf(forest, values, f, wide, at, v, r, radius, wide_radius)  # a split that parts too little
         else:
             todo += [(at[inner], vi, depth + 1), (at[outer], vo, depth + 1)]
     return np.array([forest.root(i) for i in range(len(f))], np.int64)
 
 
-def near_links(distinct: DataFrame, radius: int, wide_columns: list[str] | None = None, wide_radius: int = 0, id_col: str = "f0") -> DataFrame:
-    """Links (a, b) between ids of distinct fingerprints in column f0 that join whatever lies within the radius, and no more.
+def near_links(distinct: DataFrame, blocks: list[Block], radius: int, sources: tuple[str, ...] = ("f0",), wide: tuple[str, ...] = (), wide_radius: int = 0, id_col: str = "f0") -> DataFrame:
+    """Links (a, b) between ids of distinct fingerprints that join whatever meets in a block and lies within the radius, and no more.
 
-    Every shard gives a spanning forest of its links, not its pairs. With wide_columns a link must also lie within
-    wide_radius over these. distinct must be a written table.
+    sources are the columns that the blocks' bits are of; fingerprints in f0 must lie within the radius and, where wide
+    names columns, those over all of these together within wide_radius. Every shard gives a spanning forest of its links,
+    not its pairs. The sample that shards are made from grows with their number. distinct must be a written table.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = distinct.where(uniform(F.col("f0"), "vantage:") < min(1.0, SAMPLE / max(n, 1))).select("f0")
-    sample = np.sort(np.array([r[0] for r in sample.collect()], np.int64)).view(np.uint64)
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
-    trees = [(shard_tree(np.random.default_rng(7).permutation(sample), mask, levels), mask, r) for mask, r in blocks_of(radius)]
-    columns = list(dict.fromkeys(["f0", id_col, *(wide_columns or [])]))
+    levels = max(0, int(np.ceil(np.log2(max(n, 1) / SHARD))))
+    share = min(1.0, max(SAMPLE, (4 * SHARD_SAMPLE) << levels) / max(n, 1))
+    rows = distinct.where(uniform(F.col("f0"), "vantage:") < share).select(*sources).toArrow().sort_by([(c, "ascending") for c in sources])
+    sample = [c.to_numpy().view(np.uint64) for c in rows.columns]
+    mixed = np.random.default_rng(7).permutation(len(sample[0]))
+    trees = [(shard_tree(values_of(sample, bits)[mixed], levels), bits, r) for bits, r in blocks]
+    carried = list(dict.fromkeys([id_col, "f0", *wide]))
+    columns = list(dict.fromkeys([*sources, *carried]))
     shared = spark.sparkContext.broadcast(trees)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = batch.column(0).to_numpy().view(np.uint64)
-            for k, (nodes, mask, r) in enumerate(shared.value):
-                at, leaf, visits = route(f, nodes, mask, r)
-                taken = pa.Table.from_batches([batch]).take(pa.array(at)).combine_chunks()
-                yield from taken.append_column("shard", pa.array(leaf.astype(np.int64) * 64 + k)).append_column("visits", pa.array(visits)).to_batches()
-
-    fields = ", ".join(f"{c} long" for c in columns)
+            prints = [batch.column(c).to_numpy().view(np.uint64) for c in sources]
+            for k, (nodes, bits, r) in enumerate(shared.value):
+                values = values_of(prints, bits)
+                at, leaf, visits = route(values, nodes, r)
+                taken = pa.Table.from_batches([batch.select(carried)]).take(pa.array(at)).combine_chunks()
+                place = (values[at] << np.uint64(1) | visits.astype(np.uint64)).view(np.int64)  # a value has 63 bits at most
+                yield from taken.append_column("shard", pa.array(leaf.astype(np.int64) * len(shared.value) + k)).append_column("place", pa.array(place)).to_batches()
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
-        _, mask, r = shared.value[int(frame["shard"].iloc[0]) % 64]
-        f = frame["f0"].to_numpy().view(np.uint64)
-        wide = frame[wide_columns].to_numpy().view(np.uint64) if wide_columns else None
-        root = shard_links(f, wide, frame["visits"].to_numpy(bool), mask, r, radius, wide_radius)
+        _, _, r = shared.value[int(frame["shard"].iloc[0]) % len(shared.value)]
+        f, place = frame["f0"].to_numpy().view(np.uint64), frame["place"].to_numpy().view(np.uint64)
+        all_of = frame[list(wide)].to_numpy().view(np.uint64) if wide else None
+        root = shard_links(place >> np.uint64(1), f, all_of, (place & np.uint64(1)).astype(bool), r, radius, wide_radius)
         linked = np.flatnonzero(root != np.arange(len(f)))
         values = frame[id_col].to_numpy()
-        if len(frame) > 2 * SHARD:
+        if len(frame) > 10_000:
             release_memory()
         return pd.DataFrame({"a": values[linked], "b": values[root[linked]]})
 
-    return distinct.select(*columns).mapInArrow(places, f"{fields}, shard long, visits boolean").groupBy("shard").applyInPandas(within, "a long, b long")
+    fields = ", ".join(f"{c} long" for c in [*carried, "shard", "place"])
+    return distinct.select(*columns).mapInArrow(places, fields).groupBy("shard").applyInPandas(within, "a long, b long")
 
 
 # components
@@ -289,7 +312,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(written(near_links(nodes, RADIUS), "near"))
+    roots = connected_components(written(near_links(nodes, blocks_of(RADIUS), RADIUS), "near"))
     joined = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
     # stored, so that the join after it is between plain shuffles, whose large partitions Spark may split
     least = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "least")
@@ -299,14 +322,49 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 #: Five-word shingles, and the resemblance from which documents are near-duplicates, as a fraction.
 STAGE_WORDS, STAGE_ALIKE, STAGE_SEEDS = 5, (4, 5), (42, 43, 44, 45)
-#: Candidates: differing bits within which partners are sought in each of the four fingerprints (pairs at 0.8 differ in 10
-#: of 64 bits or so; one search finds nine of ten of them), and of all four together (39 or so; 64 is far from both that and
-#: chance). Exact resemblance decides afterwards.
-STAGE_RADIUS, STAGE_WIDE = 13, 64
+#: Share of bits in which sets at that resemblance differ at most, but for those of four and five shingles (0.19); most: 0.15.
+STAGE_DIFFER = 0.165
+#: Share of such pairs that some block shall find at least, and unlike fingerprints that a block shall bring near one at most.
+STAGE_RECALL, STAGE_CHANCE = 0.95, 512
+#: Candidates differ in so many of the first 64 bits, and of all, at most: four deviations above the expected number; of all bits
+#: that is seven below the half that unlike ones differ in, so these don't chain. Exact resemblance decides afterwards.
+STAGE_RADIUS, STAGE_WIDE = 22, 68
 #: Rows up to which candidates are broadcast to the texts, and candidates of a task to aim at.
 BROADCAST_ROWS, GROUP_ROWS = 500_000, 1_000
 
 
+def _recall(width: int, n_blocks: int, differ: float, n_bits: int) -> float:
+    """The chance that two fingerprints, each bit of which differs with a chance, differ in at most one bit of some block."""
+    total = 0.0
+    for d in range(n_bits + 1):
+        chance = comb(n_bits, d) * differ**d * (1 - differ) ** (n_bits - d)
+        if chance > 1e-9:
+            near = (comb(n_bits - d, width) + d * comb(n_bits - d, width - 1)) / comb(n_bits, width)
+            total += chance * (1 - (1 - near) ** n_blocks)
+    return total
+
+
+def stage_blocks(n: int, n_bits: int = 64 * len(STAGE_SEEDS)) -> list[Block]:
+    """Blocks for n fingerprints, so wide that few unlike ones meet, and so many that STAGE_RECALL of the like ones do.
+
+    Both grow with the logarithm of n, so what a fingerprint is compared with doesn't grow in proportion. Bits are dealt
+    from one order of all bits after another, so each is in as many blocks as any other.
+    """
+    width = next(w for w in range(8, 63) if n * (w + 1) <= STAGE_CHANCE * 2**w or w == 62)
+    count = next(b for b in range(1, 1 << 20) if _recall(width, b, STAGE_DIFFER, n_bits) >= STAGE_RECALL)
+    order = np.random.default_rng(5)
+    dealt = np.concatenate([order.permutation(n_bits) for _ in range(-(-(width * count) // n_bits) + 1)])
+    blocks, at = [], 0
+    for _ in range(count):
+        bits = dict.fromkeys(dealt[at : at + width].tolist())  # an order that ends within a block may repeat a bit
+        at += width
+        while len(bits) < width:
+            bits.setdefault(int(dealt[at]))
+            at += 1
+        blocks.append((tuple(bits), 1))
+    return blocks
+
+
 def shingle_set(text: str, words: int) -> np.ndarray:
     """The distinct shingle hashes of a text, in order."""
     return np.unique(shingle_hashes(text, words)[:, 0])
@@ -399,12 +457,12 @@ def _exact_roots(docs: DataFrame, loose: DataFrame, words: int) -> DataFrame:
     return hashed.mapInArrow(sets, "node long, loose long, part long, hashes binary").groupBy("part").applyInPandas(within, "node long, root long")
 
 
-def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, wide_radius: int = STAGE_WIDE) -> DataFrame:
+def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
 
     Links are pairs whose sets of shingles have a Jaccard resemblance of STAGE_ALIKE or more, decided exactly within groups
-    of candidates: the components of pairs with any of four fingerprints within the radius, found by a forest for each, and
-    with all their 256 bits within wide_radius. Equal sets are one node. A row is known by a hash of id and text; rows alike in both are copies, of which
+    of candidates: the components of pairs that differ in at most one bit of one of stage_blocks, found by a forest of
+    vantage-point trees, a tree a block, and in few of their first bits. Equal sets are one node. A row is known by a hash of id and text; rows alike in both are copies, of which
     one stays. Texts without words are copies of each other. Columns stay as they are; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
@@ -416,9 +474,8 @@ def one_of_each_group(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     prints = written(rows.mapInArrow(_stage_fingerprinter(words), ", ".join([f"doc_id {id_type}, row_key long, node long", *(f"{c} long" for c in fs)])), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_key"))
     nodes = written(prints.groupBy("node", *fs).agg(F.min(first).alias("first"), F.count("*").alias("rows")), "nodes")
-    turned = [nodes.select("node", *[F.col(fs[(k + j) % width]).alias(fs[j]) for j in range(width)]) for k in range(width)]
-    near = [written(near_links(t, radius, fs, wide_radius, "node"), "near") for t in turned]
-    loose = connected_components(functools.reduce(DataFrame.unionByName, near)).withColumnRenamed("root", "loose")
+    near = near_links(nodes, stage_blocks(nodes.count()), STAGE_RADIUS, tuple(fs), tuple(fs), STAGE_WIDE, "node")
+    loose = connected_components(written(near, "near")).withColumnRenamed("root", "loose")
     candidates = written(nodes.join(loose, "node").select(F.col("first.row_key").alias("text_key"), "node", "loose"), "candidates")
     roots = written(_exact_roots(docs, candidates, words), "roots")
     joined = nodes.select("node", "first", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
