@@ -9,7 +9,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, let, read_table, whole, written
+from .common import dropped, read_table, whole, written
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
@@ -44,60 +44,73 @@ def parse_results(messages: DataFrame) -> DataFrame:
     return block.select("conv_id", "turn", F.get_json_object("b", "$.id").alias("call_id"), F.get_json_object("b", "$.content").alias("content"))
 
 
-def _json_type(v: Column) -> Column:
-    """The JSON Schema name of a variant's type."""
-    kind = F.schema_of_variant(v)
+def _kind(told: Column) -> Column:
+    """The JSON Schema name of a variant's type, from what schema_of_variant says of it."""
     return (
-        F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
-        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
+        F.when(told == "STRING", "string").when(told == "BIGINT", "integer").when(told == "BOOLEAN", "boolean").when(told == "VOID", "null")
+        .when(told.startswith("ARRAY"), "array").when(told.startswith("OBJECT"), "object").otherwise("number")
     )
 
 
 def _fields(v: Column) -> Column:
     """The fields of a variant that is an object; else null."""
-    return F.when(_json_type(v) == "object", F.from_json(F.to_json(v), "map<string,variant>"))
-
-
-def _items(v: Column) -> Column:
-    return F.when(_json_type(v) == "array", F.from_json(F.to_json(v), "array<variant>"))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.from_json(F.to_json(v), "map<string,variant>"))
 
 
 def _strings(v: Column) -> Column:
     """A variant's strings: its own, or those of an array; null for anything else."""
-    return F.when(_json_type(v) == "array", F.from_json(F.to_json(v), "array<string>")).when(_json_type(v) == "string", F.array(v.cast("string")))
-
-
-def schema_errors(value: Column, schema: Column, at: Column, depth: int) -> Column:
-    """What a value (a variant) has against a JSON Schema (a variant), down to a depth, each with its place.
+    told = F.schema_of_variant(v)
+    return F.when(told.startswith("ARRAY"), F.from_json(F.to_json(v), "array<string>")).when(told == "STRING", F.array(v.cast("string")))
+
+
+_STRINGS, _VALUES = "array<string>", "array<struct<v:variant,s:variant,at:string>>"
+
+
+def _value_errors(c: Column) -> Column:
+    """What one value has against its schema's own keywords. c: v, at, rule, told, given, listed."""
+    key = lambda name: F.try_element_at(c["rule"], F.lit(name))
+    below = lambda name: F.when(c["at"] == "$", name).otherwise(F.concat(c["at"], F.lit("."), name))
+    kind = _kind(c["told"])
+    enum = F.when(F.schema_of_variant(key("enum")).startswith("ARRAY"), F.from_json(F.to_json(key("enum")), "array<variant>"))
+    found = [
+        F.when(~F.exists(_strings(key("type")), lambda t: (t == kind) | ((t == "number") & (kind == "integer"))), F.array(F.concat(F.lit("type of "), c["at"]))),
+        F.when(~F.exists(enum, lambda e: F.to_json(e) == F.to_json(c["v"])), F.array(F.concat(F.lit("value of "), c["at"]))),
+        F.transform(F.array_except(_strings(key("required")), F.map_keys(c["given"])), lambda k: F.concat(F.lit("missing "), below(k))),
+        F.when(F.to_json(key("additionalProperties")) == "false", F.transform(F.array_except(F.map_keys(c["given"]), F.map_keys(c["listed"])), lambda k: F.concat(F.lit("unknown "), below(k)))),
+    ]
+    return F.concat(*[F.coalesce(x, F.array().cast(_STRINGS)) for x in found])
+
+
+def _values_within(c: Column) -> Column:
+    """The values within one that its schema speaks of, with their schemas and places."""
+    key = lambda name: F.try_element_at(c["rule"], F.lit(name))
+    below = lambda name: F.when(c["at"] == "$", name).otherwise(F.concat(c["at"], F.lit("."), name))
+    one = lambda v, s, at: F.struct(v.alias("v"), s.alias("s"), at.alias("at"))
+    rest = F.when(F.schema_of_variant(key("additionalProperties")).startswith("OBJECT"), F.array_except(F.map_keys(c["given"]), F.map_keys(c["listed"])))
+    items = F.when(key("items").isNotNull() & c["told"].startswith("ARRAY"), F.from_json(F.to_json(c["v"]), "array<variant>"))
+    found = [
+        F.transform(F.array_intersect(F.map_keys(c["given"]), F.map_keys(c["listed"])), lambda k: one(F.try_element_at(c["given"], k), F.try_element_at(c["listed"], k), below(k))),
+        F.transform(rest, lambda k: one(F.try_element_at(c["given"], k), key("additionalProperties"), below(k))),
+        F.transform(items, lambda x, i: one(x, key("items"), F.concat(c["at"], F.lit("["), i.cast("string"), F.lit("]")))),
+    ]
+    return F.concat(*[F.coalesce(x, F.array().cast(_VALUES)) for x in found])
+
+
+def with_schema_errors(rows: DataFrame, value: str, schema: str, depth: int) -> DataFrame:
+    """rows with found: what the variant value has against the variant schema, down to a depth, each with its place.
 
     type (a name or a list of names; an integer is a number), enum (by canonical JSON), required, properties,
-    additionalProperties (false, or a schema for what isn't listed) and items (a schema). Other keywords are not read.
+    additionalProperties (false, or a schema for what isn't listed) and items (a schema). Other keywords are not read. A
+    level of values is one step over all rows, which hold the values still to be looked at in an array.
     """
-    none = F.array().cast("array<string>")
-    child = lambda v, s, place: F.struct(v.alias("v"), s.alias("s"), place.alias("at"))
-
-    def of(rule: Column, given: Column) -> Column:
-        key = lambda name: F.try_element_at(rule, F.lit(name))
-        below = lambda name: F.when(at == "$", name).otherwise(F.concat(at, F.lit("."), name))
-        kind, listed = _json_type(value), F.coalesce(_fields(key("properties")), F.create_map().cast("map<string,variant>"))
-        more = F.array_except(F.map_keys(given), F.map_keys(listed))
-        found = [
-            F.when(~F.exists(_strings(key("type")), lambda t: (t == kind) | ((t == "number") & (kind == "integer"))), F.array(F.concat(F.lit("type of "), at))),
-            F.when(~F.exists(_items(key("enum")), lambda e: F.to_json(e) == F.to_json(value)), F.array(F.concat(F.lit("value of "), at))),
-            F.transform(F.array_except(_strings(key("required")), F.map_keys(given)), lambda k: F.concat(F.lit("missing "), below(k))),
-            F.when(F.to_json(key("additionalProperties")) == "false", F.transform(more, lambda k: F.concat(F.lit("unknown "), below(k)))),
-        ]
-        if depth > 1:
-            children = [
-                F.transform(F.array_intersect(F.map_keys(given), F.map_keys(listed)), lambda k: child(F.try_element_at(given, k), F.try_element_at(listed, k), below(k))),
-                F.when(_json_type(key("additionalProperties")) == "object", F.transform(more, lambda k: child(F.try_element_at(given, k), key("additionalProperties"), below(k)))),
-                F.when(key("items").isNotNull(), F.transform(_items(value), lambda x, i: child(x, key("items"), F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))),
-            ]
-            all_children = F.concat(*[F.coalesce(c, F.array().cast("array<struct<v:variant,s:variant,at:string>>")) for c in children])
-            found.append(F.flatten(F.transform(all_children, lambda c: schema_errors(c["v"], c["s"], c["at"], depth - 1))))
-        return F.concat(*[F.coalesce(x, none) for x in found])
-
-    return F.coalesce(let(_fields(schema), lambda rule: let(_fields(value), lambda given: of(rule, given))), none)
+    no_fields = F.create_map().cast("map<string,variant>")
+    root = F.struct(F.col(value).alias("v"), F.col(schema).alias("s"), F.lit("$").alias("at"))
+    rows = rows.withColumns({"_todo": F.array(root), "found": F.array().cast(_STRINGS)})
+    for _ in range(depth):
+        rows = rows.withColumn("_todo", F.transform("_todo", lambda c: F.struct(c["v"], c["at"], _fields(c["s"]).alias("rule"), F.schema_of_variant(c["v"]).alias("told"), _fields(c["v"]).alias("given"))))
+        rows = rows.withColumn("_todo", F.transform("_todo", lambda c: c.withField("listed", F.coalesce(_fields(F.try_element_at(c["rule"], F.lit("properties"))), no_fields))))
+        rows = rows.withColumns({"found": F.concat("found", F.flatten(F.transform("_todo", _value_errors))), "_todo": F.flatten(F.transform("_todo", _values_within))})
+    return rows.drop("_todo")
 
 
 def schema_depth(schema: Column) -> Column:
@@ -120,7 +133,7 @@ def schema_depth(schema: Column) -> Column:
 def with_validation(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """calls with errors: what their arguments have against the schema of the tool that they name, in sorted order.
 
-    The tool must be known and arguments an object; then schema_errors, as deep as the schemas go. schemas: name, schema
+    The tool must be known and arguments an object; then with_schema_errors, as deep as the schemas go. schemas: name, schema
     (JSON Schema of an object; one that is no JSON asks for nothing). Of repeated names the least schema holds.
     """
     schemas = schemas.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("schema").alias("_schema"))
@@ -129,11 +142,10 @@ def with_validation(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     if told["n"] <= BROADCAST_TOOLS:
         parsed = F.broadcast(parsed)
     found = calls.join(parsed, F.col("name") == F.col("_name"), "left").withColumn("_given", F.try_parse_json("arguments"))
-    errors = (
-        F.when(F.col("_name").isNull(), F.array(F.lit("unknown tool"))).when(F.col("_given").isNull() | (_json_type(F.col("_given")) != "object"), F.array(F.lit("no object")))
-        .otherwise(F.array_sort(schema_errors(F.col("_given"), F.col("_schema"), F.lit("$"), max(1, told["depth"] or 1))))
-    )
-    return found.withColumn("errors", errors).drop("_name", "_schema", "_given")
+    is_object = F.coalesce(F.schema_of_variant("_given").startswith("OBJECT"), F.lit(False))
+    found = with_schema_errors(found.withColumn("_checked", F.when(is_object, F.col("_given"))), "_checked", "_schema", max(1, told["depth"] or 1))
+    errors = F.when(F.col("_name").isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("no object"))).otherwise(F.array_sort("found"))
+    return found.withColumn("errors", errors).drop("_name", "_schema", "_given", "_checked", "found")
 
 
 def with_levels(calls: DataFrame) -> DataFrame:

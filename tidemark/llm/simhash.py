@@ -28,7 +28,7 @@ WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that vantage points and thresholds are chosen from, as an expected number; they steer shards' sizes alone.
 SAMPLE = 32_768
 #: Fingerprints of a shard to aim at, those of the sample for each shard at least, and fingerprints compared without a further split.
-SHARD, SHARD_SAMPLE, LEAF = 32_768, 16, 1_000
+SHARD, SHARD_SAMPLE, LEAF = 131_072, 16, 1_000
 
 
 # fingerprints
@@ -325,7 +325,7 @@ STAGE_WORDS, STAGE_ALIKE, STAGE_SEEDS = 5, (4, 5), (42, 43, 44, 45)
 #: Share of bits in which sets at that resemblance differ at most, but for those of four and five shingles (0.19); most: 0.15.
 STAGE_DIFFER = 0.165
 #: Share of such pairs that some block shall find at least, and unlike fingerprints that a block shall bring near one at most.
-STAGE_RECALL, STAGE_CHANCE = 0.95, 512
+STAGE_RECALL, STAGE_CHANCE = 0.95, 128
 #: Candidates differ in so many of the first 64 bits, and of all, at most: four deviations above the expected number; of all bits
 #: that is seven below the half that unlike ones differ in, so these don't chain. Exact resemblance decides afterwards.
 STAGE_RADIUS, STAGE_WIDE = 22, 68
