@@ -37,9 +37,9 @@ def channel_weight(channel: Column, profile: dict[str, float]) -> Column:
     return F.coalesce(ladder, other)
 
 
-def weighted_rrf(hits: DataFrame, profile: dict[str, float], limit: int = FUSED_ROWS) -> DataFrame:
-    """query_id, rank, chunk_id, score, channels: sums of weight over 60 + rank; ties by chunk."""
-    part = channel_weight(F.col("channel"), profile) / (F.lit(RRF_K) + F.col("rank"))
+def weighted_rrf(hits: DataFrame, profile: dict[str, float], limit: int = FUSED_ROWS, k: int = RRF_K) -> DataFrame:
+    """query_id, rank, chunk_id, score, channels: sums of weight over k + rank; ties by chunk."""
+    part = channel_weight(F.col("channel"), profile) / (F.lit(k) + F.col("rank"))
     fused = hits.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -130,9 +130,10 @@ def near_duplicates(rows: DataFrame, id_col: str, group: str, least: float = NEA
     return checked.withColumn("overlap", F.round(overlap(F.col("ta"), F.col("tb")), 6)).where(F.col("overlap") >= least).select("a", "b", "overlap")
 
 
-def reserved_places(ranked: DataFrame, navigation: DataFrame, k: int, coverage: bool = False) -> DataFrame:
-    """k rows of each query of which min(max(2, or 3 for coverage, (k + 1) // 2), k) places go to navigation's chunks first."""
-    reserve = min(max(3 if coverage else 2, (k + 1) // 2), k)
+def reserved_places(ranked: DataFrame, navigation: DataFrame, k: int, coverage: bool = False, places: int | None = None) -> DataFrame:
+    """k rows of each query of which min(max(2, or 3 for coverage, (n + 1) // 2), n) go to navigation's chunks first; n is places, or k."""
+    n = places or k
+    reserve = min(max(3 if coverage else 2, (n + 1) // 2), n)
     marked = ranked.join(navigation.select("query_id", "chunk_id").distinct().withColumn("nav", F.lit(True)), ["query_id", "chunk_id"], "left").withColumn("nav", F.coalesce("nav", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("query_id", "nav").orderBy("rank"))
     pinned = F.col("nav") & (place <= reserve)

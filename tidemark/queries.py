@@ -15,6 +15,7 @@ from tidemark.functions import text as T
 from tidemark.functions.embedding import hashed_embedding
 from tidemark.operators import chunking, entities, fusion, maintenance, metrics, search, structure
 from tidemark.plans import evidence
+from tidemark.plans.query_plan import coverage_plan
 from tidemark.sources.tables import spread, stored
 from tidemark.sources.text_sources import csv_text
 
@@ -820,7 +821,7 @@ def _engine(spark, sf_dir):
 
     index = engine.build_index(_units(spark, sf_dir).select("document_id", "unit", "text", "n_units"))
     questions = _questions(spark, sf_dir).withColumn("terms", F.slice(F.split("text", " "), 1, 2))
-    return index, questions, engine.retrieve(index, questions)
+    return index, questions, engine.retrieve(index, questions, plan=coverage_plan(""))
 
 
 @query()
