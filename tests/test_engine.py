@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import chunking, entities, fusion, maintenance, metrics, search, structure
 from tidemark.plans import evidence, query_plan
+from tidemark import engine
 from tidemark.sources import text_sources
 from tidemark.streaming import ingest
 
@@ -199,9 +200,20 @@ def test_sources_and_stream(spark, tmp_path):
     assert texts == {"a.txt": "Überschrift erster Satz.", "b.txt": "中文内容在这里"}
     rows = text_sources.csv_units(spark, str(landing / "c.csv"), "c.csv").orderBy("unit").collect()
     assert rows[0]["text"] == 'CSV 文件：c.csv\n列名：n | name\n第 1 行：{"n": 1, "name": "x, y"}\nMarkdown 视图：n: 1 | name: x, y' and '"n": ""' in rows[1]["text"]
+    (landing / "f.csv").write_bytes("\ufeff名,x\n汤姆,1.50\n\n索亚,2\n".encode("gbk", "ignore"))
+    rows = {(r["file_name"], r["unit"]): r["text"] for r in text_sources.csv_file_units(text_sources.files(spark, str(landing))).collect()}
+    assert rows["c.csv", 0] == 'CSV 文件：c.csv\n列名：n | name\n第 1 行：{"n": 1, "name": "x, y"}\nMarkdown 视图：n: 1 | name: x, y' and '"n": ""' in rows["c.csv", 1]
+    assert '{"名": "汤姆", "x": 1.5}' in rows["f.csv", 0] and '"x": 2.0' in rows["f.csv", 1] and len(rows) == 4
+    read = lambda content: [{"page": 1, "page_count": 1, "page_width": 600.0, "page_height": 800.0, "x0": 10.0, "y0": 100.0, "x1": 200.0, "y1": 120.0, "text": content.decode(), "ocr": False}]
+    (landing / "g.pdf").write_bytes(b"words of a page in a file")
     for _ in range(2):
-        ingest.ingest(spark, str(landing), str(tmp_path / "index"), str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "index")).select("file_name").distinct().count() == 2
+        ingest.ingest(spark, str(landing), str(tmp_path / "index"), str(tmp_path / "state"), read_pdf=read).awaitTermination()
+    index = engine.read_index(spark, str(tmp_path / "index"))
+    assert index.units.select("document_id").distinct().count() == 5 and index.units.where("text LIKE '%words of a page%'").count() == 1
+    (landing / "h.txt").write_bytes(b"A late file about rivers.")
+    ingest.ingest(spark, str(landing), str(tmp_path / "index"), str(tmp_path / "state"), read_pdf=read).awaitTermination()
+    later = engine.read_index(spark, str(tmp_path / "index"))
+    assert later.units.select("document_id").distinct().count() == 6 and later.chunks.where("content LIKE '%rivers%'").count() > 0 and later.chunks.count() > index.chunks.count()
 
 
 def test_paged_units(spark):

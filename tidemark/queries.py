@@ -131,7 +131,10 @@ def detect_language_script(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.language_by_script(F.col("text")).alias("p")).select("doc_id", "p.language", "p.confidence")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS t FROM documents), c AS (SELECT doc_id, t, string_split(t, '') AS l, greatest(length(t), 1) AS n FROM d),
+r AS (SELECT doc_id, n, len(regexp_extract_all(t, '[A-Za-z0-9\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}\\x{0400}-\\x{04ff}\\x{0600}-\\x{06ff}]')) AS valid,
+  len(list_filter(range(1, len(l) - 3), lambda i: l[i] = l[i + 1] AND l[i] = l[i + 2] AND l[i] = l[i + 3] AND l[i] = l[i + 4] AND (i = 1 OR l[i - 1] <> l[i]))) AS runs FROM c)
+SELECT doc_id, round(greatest(0.0, least(1.0, valid / n - 2.0 * runs / n)), 4)::DOUBLE AS quality FROM r""".replace("\\\\", "\\"))
 def text_quality(spark, sf_dir):
     return _text_query(T.text_quality, "quality")(spark, sf_dir)
 
@@ -260,7 +263,11 @@ def window_cards(spark, sf_dir):
     return _window_cards(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SECTIONS_SQL},
+sc AS (SELECT s.document_id, section, title, start_unit, end_unit, s.n_units, c, array_to_string(list(trim(u.text) ORDER BY u.unit), chr(10) || chr(10)) AS t FROM s JOIN u ON u.document_id = s.document_id AND u.unit BETWEEN start_unit AND end_unit GROUP BY ALL)
+SELECT document_id, document_id || ':' || CASE WHEN c = 1 AND title = '正文' THEN 'section:root' ELSE 'section:' || section || ':' || CASE WHEN {s_key('title')} = '' THEN 'untitled' ELSE {s_key('title')} END END AS chunk_id, 'section_card' AS kind, title,
+  '文档区段：' || title || chr(10) || '来源位置：单元 ' || (start_unit + 1) || '-' || (end_unit + 1) || '/' || n_units || chr(10) || '页码：unknown' || chr(10) || '区段原文摘录：' || chr(10)
+  || CASE WHEN length(t) <= 1720 THEN t ELSE left(t, 900) || chr(10) || chr(10) || '[...中间原文窗口省略...]' || chr(10) || chr(10) || right(t, 700) END AS content FROM sc""")
 def section_cards(spark, sf_dir):
     units = _units(spark, sf_dir)
     return structure.section_cards(structure.sections(units), units)
@@ -748,7 +755,14 @@ def language_vote(spark, sf_dir):
     return metrics.language_vote(rows)
 
 
-@query()
+@query(f"""WITH {_PLACED_SQL}, q AS (SELECT item_id AS query_id, {s_tokens('text')} AS q FROM benchmark),
+p0 AS (SELECT query_id, rank, file_name, text, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS p, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) AS i FROM pl WHERE rank <= 6),
+p1 AS (SELECT query_id, rank, file_name, text, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS p, i FROM p0),
+p2 AS (SELECT p1.*, 0.6 * len(list_filter(q, lambda x: contains({s_lex('p')}, x))) + CASE WHEN length(p) >= 40 THEN 0.15 ELSE 0 END AS v FROM p1 JOIN q USING (query_id) WHERE p <> ''),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY v DESC, i) AS n FROM p2),
+p4 AS (SELECT query_id, rank, any_value(file_name) AS file_name, any_value(text) AS text, array_to_string(list(p ORDER BY i) FILTER (n <= 2), chr(10) || chr(10)) AS best FROM p3 GROUP BY query_id, rank),
+p5 AS (SELECT query_id, rank, file_name, CASE WHEN length(text) <= 1000 THEN text ELSE best END AS c FROM p4)
+SELECT query_id, rank, '[S' || rank || '] 来源: ' || file_name || ' | 定位未知' || chr(10) || CASE WHEN length(c) <= 1000 THEN c ELSE left(c, 750) || chr(10) || '…' || chr(10) || right(c, 250) END AS block FROM p5""".replace("\\\\", "\\"))
 def evidence_excerpts(spark, sf_dir):
     rows = _placed(spark, sf_dir).where("rank <= 6").join(search.small(_questions(spark, sf_dir).withColumnRenamed("text", "question")), "query_id")
     tokens = T.search_tokens(F.col("question"))
@@ -803,9 +817,11 @@ def source_bundle(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", requirements.source_bundle(F.col("text"), 1200, F.array(F.lit("license"), F.lit("the"))).alias("bundle"))
 
 
-@query("SELECT doc_id, [x for x in list_distinct([source, source]) if x <> ''][1] AS first FROM documents")
+@query(rf"""WITH n AS (SELECT doc_id, lang || ' ' || source AS x FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct([x, {s_key('x')}] || list_transform(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}A-Za-z]+[·・•\s]+[\x{{4e00}}-\x{{9fff}}A-Za-z·・•\s]+'), lambda y: {s_key('y')}))), '|') AS variants FROM n""")
 def surface_variants(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.get(T.surface_variants(F.col("source")), 0).alias("first"))
+    named = F.concat("lang", F.lit(" "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(T.surface_variants(named)), "|").alias("variants"))
 
 
 @query(f"WITH {_CARD_SQL} SELECT title AS document_id, chunk_id FROM cd WHERE kind = 'section_card' QUALIFY row_number() OVER (PARTITION BY title ORDER BY chunk_id) <= 80")

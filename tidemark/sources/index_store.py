@@ -23,9 +23,13 @@ def _fs(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    manifest, fs = _fs(spark, f"{path}/{MANIFEST}")
+    return fs.exists(manifest)
+
+
 def _manifest(spark: SparkSession, path: str) -> dict:
-    folder, fs = _fs(spark, f"{path}/{MANIFEST}")
-    if not fs.exists(folder):
+    if not exists(spark, path):
         raise FileNotFoundError(f"no index in {path}")
     return json.loads(spark.read.text(f"{path}/{MANIFEST}", wholetext=True).first()[0])
 

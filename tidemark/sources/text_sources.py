@@ -5,6 +5,8 @@ PDF text needs a reader of pages that this package doesn't bring; any function f
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -82,6 +84,53 @@ def csv_units(spark: SparkSession, path: str, file_name: str) -> DataFrame:
     return numbered.select(F.lit(file_name).alias("file_name"), "unit", csv_text(F.lit(file_name), F.col("unit"), rows.schema).alias("text"), F.lit("csv").alias("source_type"))
 
 
+def _csv_rows(name: str, content: bytes) -> Iterator[tuple[int, str]]:
+    """Row numbers and texts of a CSV file, as csv_text makes them; a column of numbers alone is bare, no file is an error."""
+    text = next((t for e in ENCODINGS if (t := _decoded(content, e)) is not None), None)
+    header, *rows = (list(csv.reader(io.StringIO(text.removeprefix("\ufeff")))) if text else []) or [[]]
+    rows = [r + [""] * (len(header) - len(r)) for r in rows if r]
+    numbers = [_numbers([r[k] for r in rows]) for k in range(len(header))]
+    for n, row in enumerate(rows):
+        shown = [str(numbers[k][n]) if numbers[k] and row[k] != "" else row[k] for k in range(len(header))]
+        told = [shown[k] if numbers[k] and row[k] != "" else json.dumps(shown[k], ensure_ascii=False) for k in range(len(header))]
+        as_json = ", ".join(f"{json.dumps(c, ensure_ascii=False)}: {v}" for c, v in zip(header, told, strict=True))
+        pairs = " | ".join(f"{c}: {v}" for c, v in zip(header, shown, strict=True))
+        yield n, f"CSV 文件：{name}\n列名：{' | '.join(header)}\n第 {n + 1} 行：{{{as_json}}}\nMarkdown 视图：{pairs}"
+
+
+def _decoded(content: bytes, encoding: str) -> str | None:
+    try:
+        return content.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
+def _numbers(values: list[str]) -> list | None:
+    """The values as whole numbers, or as others, where all that aren't empty are such; else None."""
+    for kind in (int, float):
+        try:
+            return [kind(v) if v else None for v in values] if any(values) else None
+        except ValueError:
+            continue
+    return None
+
+
+def csv_file_units(found: DataFrame) -> DataFrame:
+    """A unit for each row of every CSV file among found, in any of the known encodings: document_id, file_name, unit, text, source_type.
+
+    A file is read where it is, by one task; files are the unit of parallelism.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for d, name, content in zip(frame["document_id"], frame["file_name"], frame["content"], strict=True):
+                rows = list(_csv_rows(name, content))
+                yield pd.DataFrame({"document_id": d, "file_name": name, "unit": [n for n, _ in rows], "text": [t for _, t in rows], "source_type": "csv"}, columns=["document_id", "file_name", "unit", "text", "source_type"])
+
+    rows = document_ids(found.where("suffix = 'csv'")).select("document_id", "file_name", "content")
+    return rows.mapInPandas(run, "document_id string, file_name string, unit bigint, text string, source_type string")
+
+
 BLOCKS = "page int, page_count int, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, text string, ocr boolean"
 
 
@@ -114,7 +163,3 @@ def paged_units(blocks: DataFrame) -> DataFrame:
     unit = F.row_number().over(Window.partitionBy("file_name").orderBy("_page", "block_no")) - 1
     return ordered.select("file_name", unit.cast("bigint").alias("unit"), F.col("_page").alias("page"), "page_count", F.col("block_no").alias("page_block_index"), "ocr", F.concat(F.lit("第 "), F.col("_page").cast("string"), F.lit(" 页\n\n"), F.col("text")).alias("text"))
 
-
-def write_index(rows: DataFrame, path: str, key: str = "document_id") -> None:
-    """Write rows under a folder for each document; documents that come again replace their folders, others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
