@@ -302,3 +302,56 @@ def test_sources_reach_the_workers(spark, monkeypatch):
     shipping.ship(spark)
     shipping.ship(spark)
     assert any("tidemark-src.zip" in f for f in spark.sparkContext.listFiles)
+
+
+def test_dense_neighbours_in_parts(spark, monkeypatch):
+    """Products of matrices, over several parts of queries and with equal vectors, give what every pair compared gives; no pair is a row."""
+    random.seed(5)
+    rows = [(i, [float(random.randint(-3, 3)) for _ in range(6)], i % 3) for i in range(300)] + [(300 + i, [1.0, 2.0, 0.0, 0.0, 1.0, 0.0], 1) for i in range(30)] + [(400, None, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    asked = vectors.where("vec_id % 20 = 0 AND embedding IS NOT NULL").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(search.best, "PART_CELLS", 30)
+
+    def score(a, b):
+        if b is None or not any(a) or not any(b):
+            return 0.0
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return round(max(0.0, dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5), 5)
+
+    for labelled in (False, True):
+        found = search.dense_top_k(vectors, asked if labelled else asked.drop("label"), 7)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+        for q in asked.collect():
+            all_of = sorted((-score(q["embedding"], v), i) for i, v, label in rows if not labelled or label == q["label"])
+            assert got[q["query_id"]] == [(i, -s) for s, i in all_of[:7]]
+
+
+def test_batches_of_questions_keep_ties(spark, monkeypatch):
+    """BM25 and containment in parts and blocks of queries: the same as one by one, ties by chunk, stored once."""
+    random.seed(6)
+    words = ["red", "fox", "foxes", "blue", "a-b", "东京塔", "x/y", "infrared", "zz"]
+    docs = spark.createDataFrame([(i, " ".join(random.choices(words, k=random.randint(0, 5)))) for i in range(200)], "id bigint, text string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "blue 东京"), (3, "zz"), (4, "the"), (5, "ox/y /y")], "query_id int, text string")
+    wanted = search.top_k(search.bm25_scores(search.postings(docs, "id"), asked).withColumn("score", F.round("score", 6)), 5).select("query_id", "rank", "chunk_id", "score").collect()
+    plain = [(q, c, sum(t in x for t in ts)) for q, ts in [(1, ["red", "fox"]), (2, ["blue", "东京"]), (3, ["zz"]), (5, ["ox/y", "/y"])] for c, x in docs.collect() if any(t in x for t in ts)]
+    monkeypatch.setattr(search.best, "PART_QUERIES", 2)
+    monkeypatch.setattr(search.best, "WORD_QUERIES", 1)
+    for found in (search.bm25_top_k(docs, asked, "id", 5), search.bm25_of_postings(search.postings(docs, "id"), asked, 5)):
+        assert sorted(map(tuple, found.select("query_id", "rank", "chunk_id", "score").collect())) == sorted(map(tuple, wanted))
+        assert found.inputFiles()  # a table: what follows reads it, and scores are not made again
+    found = {(r["query_id"], r["chunk_id"]): r["score"] for r in search.containment_top_k(docs, asked, "id", 1000).collect()}
+    assert all(found[q, c] == n for q, c, n in plain if q != 5)
+
+
+def test_no_card_and_no_entity_is_left_out(spark):
+    """Structured search looks at all cards, and a file keeps all its entities, unless a number is given."""
+    cards = spark.createDataFrame([(f"c{i:03}", "section_card", "t", None, "needle" if i == 150 else "hay") for i in range(151)], "chunk_id string, kind string, title string, section_path string, content string")
+    asked = spark.createDataFrame([(1, "needle"), (2, "the")], "query_id int, text string")
+    found = search.structured_search(cards, asked, limit=2)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "c150", 1), (2, 1, "c000", 0), (2, 2, "c001", 0)]
+    assert search.structured_search(cards, asked.where("query_id = 1"), limit=2, first=72).count() == 0
+    units = spark.createDataFrame([("d", 0, " ".join(f"client_{i}" for i in range(200)))], "document_id string, unit bigint, text string")
+    merged = entities.merged_entities(entities.entity_mentions(units))
+    assert merged.count() == 200 and entities.merged_entities(entities.entity_mentions(units), 160).count() == 160
