@@ -51,6 +51,24 @@ def test_navigation_holds_words_against_terms_once(spark):
     assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_position_bins_look_at_few_rows_a_bin(spark):
+    random.seed(1)
+    rows = spark.createDataFrame([(q, f"c{i}", random.random() * (0.3 if q == 2 else 1.0), random.randint(0, 40) / 10) for q, n in [(1, 300), (2, 60), (3, 8), (4, 9), (5, 1)] for i in range(n)], "query_id int, chunk_id string, position double, score double")
+    out = search.position_diverse(rows, 8)
+    found = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for q, ids in found.items():
+        mine = sorted((r for r in rows.collect() if r["query_id"] == q), key=lambda r: (-r["score"], -r["position"], r["chunk_id"]))
+        heads = {}
+        for r in mine:
+            heads.setdefault(min(2, int(r["position"] * 3)), r["chunk_id"])
+        first = [heads[b] for b in sorted(heads)] if len(mine) > 8 else []
+        assert ids == (first + [r["chunk_id"] for r in mine if r["chunk_id"] not in first])[:8]
+    # before, all rows of a query were ordered
+    assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("sizes", [(6920,), (6921,), (9000, 10), (10, 9000, 5), (4200, 2600), (3000, 3000, 3000), (6921, 20000), (4199, 1, 2600, 121)])
 def test_excerpts_of_long_units(spark, sizes):
     texts = [" " + "".join(chr(97 + (i * 7 + j) % 26) for j in range(n)) + " " for i, n in enumerate(sizes)]
