@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows_of, sql
 from tidemark.functions import plain
 from tidemark.functions import text as T
-from tidemark.operators import best, search, structure
+from tidemark.operators import best, fusion, pairs, search, structure
 from tidemark.queries import ORACLES, QUERIES
 
 ODD = [
@@ -89,3 +89,24 @@ def test_odd_texts_against_sql(spark, tmp_path, name):
     asked = [(i, t) for i, t in enumerate(["cafe token", "foo() strasse", "meou /a", "the", "xxxxxxxxxxxx v1.2", "middle segment", "src"])]
     spark.createDataFrame(asked, "item_id bigint, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
     assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(sql(str(tmp_path), ORACLES[name]))
+
+
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_near_duplicates_in_blocks(spark, monkeypatch, block):
+    """Blocks of a file meet in pairs; copies, single words and texts without tokens among them."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(random.sample(words[: random.choice([3, 12, 40])], random.randint(1, 3))) for _ in range(40)] + [" ".join(random.sample(words, 14)) for _ in range(20)]
+    texts += [t + " " + random.choice(words) for t in texts[:20]] + ["", "the of", None] + texts[:5] * 2
+    rows = spark.createDataFrame([(i, f"f{i % 2}" if i % 9 else None, t) for i, t in enumerate(texts)], "id bigint, g string, text string")
+    monkeypatch.setattr(pairs, "BLOCK_SETS", block)
+    out = fusion.near_duplicates(rows, "id", "g")
+    wanted, sets = [], [plain.tokens(t) for t in texts]
+    for j in range(len(texts)):
+        for i in range(j):
+            least = min(len(sets[i]), len(sets[j]))
+            if i % 9 and j % 9 and i % 2 == j % 2 and least and len(sets[i] & sets[j]) / least >= 0.82:
+                wanted.append((i, j, round(len(sets[i] & sets[j]) / least, 6)))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(wanted)
+    # before, candidates were joined with both texts' tokens: eight exchanges of rows by token or pair
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
