@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -426,6 +427,25 @@ def test_ftrl_against_one_number_at_a_time():
     assert np.allclose(langid.ftrl(rows, 3, 2, passes=2), [[weight(i, k) for k in range(2)] for i in range(4)])
 
 
+def test_language_sample_is_held_once_on_the_driver(spark):
+    draw = random.Random(3)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzéèàçùœ"]
+    made = [(i, "".join(draw.choices(letters[i % 2], k=6000)) if i % 20 else "123", ("en", "fr")[i % 2], "s", 0) for i in range(200)]
+    given = spark.createDataFrame(made, DOCS).repartition(7)
+    tracemalloc.start()
+    rows = langid.sample_grams(given, F.lit(False))
+    model = langid.train(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * sum(len(ids) for _, ids, _ in rows)  # as Python's numbers they would take 80 bytes and more
+    wanted = [(lang, *langid.counts_of(text)) for _, text, lang, *_ in sorted(made, key=lambda r: str(r[0])) if text != "123"]
+    assert len(rows) == len(wanted) == 190 and model.languages == ["en", "fr"]
+    for (lang, ids, shares), (its_lang, its_ids, its_shares) in zip(rows, wanted, strict=True):
+        assert lang == its_lang and ids.tolist() == its_ids.tolist() and shares.tolist() == its_shares.astype(np.float32).tolist()
+    same = langid.train([(lang, ids, shares.astype(np.float32).astype(np.float64)) for lang, ids, shares in wanted])
+    assert model.bias.tolist() == same.bias.tolist() and model.temperature == same.temperature and np.array_equal(model.weights, same.weights)
+
+
 def test_rare_languages_and_vowel_signs(spark):
     """A language of one row in five hundred is learned; vowel signs don't part words."""
     rows = [(i, "the thing and " * 20, "en") for i in range(3000)] + [(5000 + i, "eauque leau " * 20, "fr") for i in range(6)]

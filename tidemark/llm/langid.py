@@ -8,15 +8,16 @@ texts: letters are hashed to small codes, n-grams of one to three codes to featu
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, kept_by_text, read_table, slices, small_batches, uniform
+from .common import fold, kept_by_text, read_table, release_memory, slices, small_batches, uniform
 
 #: Labelled documents that the classifier is fitted on, as an expected number shared out among the languages evenly, and
 #: those of a language at least; a language with fewer gives all it has. This bounds what comes to the driver.
@@ -25,8 +26,8 @@ FEATURES = 1 << 18
 #: FTRL-proximal step size and smoothing, penalties on absolute values and squares, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 2e-4, 1e-4, 3
 UNDETERMINED = "und"
-#: Characters that are scored at once.
-BLOCK = 400_000
+#: Characters that are scored at once, and features that weights are made of at once.
+BLOCK, FEATURES_AT_ONCE = 400_000, 1 << 14
 
 
 def _is_letter(c: str) -> bool:
@@ -113,7 +114,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 SCALE = 100.0
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_features: int, n_classes: int, passes: int = PASSES) -> np.ndarray:
+class Made(Sequence):
+    """n rows, each made when it is asked for, so that what they are made of is held once."""
+
+    def __init__(self, n: int, make: Callable[[int], tuple]):
+        self.n, self.make = n, make
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return self.make(i)
+
+
+def ftrl(rows: Sequence[tuple[int, np.ndarray, np.ndarray]], n_features: int, n_classes: int, passes: int = PASSES) -> np.ndarray:
     """Weights after passes over rows (class, features, values) in a fixed random order; a row a feature, the last the bias."""
     z, n = np.zeros((n_features + 1, n_classes)), np.zeros((n_features + 1, n_classes))
 
@@ -134,26 +150,42 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_features: int, n_clas
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    return weights(np.arange(n_features + 1))
+    for start in range(0, n_features + 1, FEATURES_AT_ONCE):  # weights take the place of z
+        at = np.arange(start, min(start + FEATURES_AT_ONCE, n_features + 1))
+        z[at] = weights(at)
+    return z
+
 
+def train(rows: Sequence[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """Fit to (language, features, shares); a fifth of the rows, dealt by position, sets the temperature.
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Fit to (language, features, shares); a fifth of the rows, dealt by position, sets the temperature."""
+    Rows are asked for one at a time, again in each pass, and none is kept, so they may be Made.
+    """
     languages = sorted({r[0] for r in rows})
     if not languages:
         return Model([], np.empty(0, np.int64), np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
-    held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    fit = [r for i, r in enumerate(rows) if i % 5 != 4]
-    seen = np.unique(np.concatenate([r[1] for r in fit]))  # state is kept for these alone
-    df = np.zeros(len(seen))
-    places = [np.searchsorted(seen, ids) for _, ids, _ in fit]
-    for at in places:
-        df[at] += 1
-    scale = (np.log((1 + len(fit)) / (1 + df)) + 1.0) * SCALE
-    full = ftrl([(languages.index(r[0]), at, r[2] * scale[at]) for r, at in zip(fit, places, strict=True)], len(seen), len(languages))
-    weighted, bias = full[:-1] * scale[:, None], full[-1]
+    held = Made(len(rows) // 5, lambda i: rows[5 * i + 4])
+    fit = Made(len(rows) - len(held), lambda i: rows[i // 4 * 5 + i % 4])
+    df = np.zeros(FEATURES)
+    for _, ids, _ in fit:
+        df[ids] += 1
+    seen = np.flatnonzero(df)  # state is kept for these alone
+    place = np.zeros(FEATURES, np.int32)
+    place[seen] = np.arange(len(seen))
+    scale = (np.log((1 + len(fit)) / (1 + df[seen])) + 1.0) * SCALE
+
+    def placed(i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        lang, ids, share = fit[i]
+        return languages.index(lang), place[ids], share * scale[place[ids]]
+
+    full = ftrl(Made(len(fit), placed), len(seen), len(languages))
+    weighted, bias = full[:-1], full[-1].copy()
+    weighted *= scale[:, None]
     used = np.flatnonzero(weighted.any(axis=1))
-    model = Model(languages, seen[used], np.concatenate([np.zeros((1, len(languages))), weighted[used]]).astype(np.float32), bias, 1.0)
+    weights = np.zeros((len(used) + 1, len(languages)), np.float32)
+    weights[1:] = weighted[used]
+    del full, weighted
+    model = Model(languages, seen[used], weights, bias, 1.0)
     if not held:
         return model
     at = model.rows()
@@ -167,8 +199,11 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     return replace(model, temperature=float(choices[int(np.argmin(loss))]))
 
 
-def sample_grams(docs: DataFrame, held_out, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, features, shares) of labelled documents out of the held-out part, drawn by doc_id, each language's share alike."""
+def sample_grams(docs: DataFrame, held_out, sample_docs: int = SAMPLE_DOCS) -> Made:
+    """(language, features, shares) of labelled documents out of the held-out part, drawn by doc_id, each language's share alike.
+
+    They come to the driver, and stay there, as flat arrays of eight bytes a feature of a document.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     wanted = max(LEAST_DOCS, sample_docs // max(len(sizes), 1))
@@ -178,12 +213,24 @@ def sample_grams(docs: DataFrame, held_out, sample_docs: int = SAMPLE_DOCS) -> l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [counts_of(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.string()), "lang": batch.column(1), "ids": pa.array([x[0].tolist() for x in found], pa.list_(pa.int32())), "shares": pa.array([x[1].astype(np.float32).tolist() for x in found], pa.list_(pa.float32()))})
+            ends = pa.array(np.cumsum([0, *(len(ids) for ids, _ in found)]), pa.int32())
+            flat = [np.concatenate([x[k] for x in found]).astype(kind) for k, kind in enumerate((np.int32, np.float32))]
+            ids, shares = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)
+            made = pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.string()), "lang": batch.column(1), "ids": ids, "shares": shares})
+            yield made.filter(pc.greater(pc.list_value_length(ids), 0))
 
     small_batches(docs.sparkSession)
-    rows = drawn.mapInArrow(run, "doc_id string, lang string, ids array<int>, shares array<float>").toPandas()
-    rows = rows[rows["ids"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable")
-    return [(lang, np.asarray(i, np.int64), np.asarray(s, np.float64)) for lang, i, s in zip(rows["lang"], rows["ids"], rows["shares"], strict=True)]
+    rows = drawn.mapInArrow(run, "doc_id string, lang string, ids array<int>, shares array<float>").toArrow().combine_chunks()
+    order = pc.sort_indices(rows.select(["doc_id", "lang"]), [("doc_id", "ascending"), ("lang", "ascending")]).to_numpy()
+    langs = rows["lang"].to_pylist()
+    ends = np.cumsum([0, *pc.list_value_length(rows["ids"]).to_pylist()])
+    ids, shares = (pc.list_flatten(rows[c]).to_numpy() for c in ("ids", "shares"))
+
+    def row(i: int) -> tuple[str, np.ndarray, np.ndarray]:
+        at = slice(*ends[order[i] : order[i] + 2])
+        return langs[order[i]], ids[at].astype(np.int64), shares[at].astype(np.float64)
+
+    return Made(len(order), row)
 
 
 def score_texts(texts: list, model: Model) -> tuple[list[str], list[float]]:
@@ -233,7 +280,9 @@ def score_texts(texts: list, model: Model) -> tuple[list[str], list[float]]:
 
 
 def fit_language_model(docs: DataFrame, held_out=None) -> Model:
-    return train(sample_grams(docs, F.lit(False) if held_out is None else held_out))
+    model = train(sample_grams(docs, F.lit(False) if held_out is None else held_out))
+    release_memory()
+    return model
 
 
 def predict_language(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
